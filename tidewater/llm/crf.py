@@ -16,6 +16,8 @@ from tidewater.llm import _common as C
 
 #: The training sample: at most so many labelled rows of each class, of at most so many bytes each.
 SAMPLE_ROWS, SAMPLE_BYTES = 1200, 1 << 15
+#: Of these, so many of each class train the chain; all count for the features and the document layer.
+CHAIN_ROWS = 300
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 SCORED = "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>"
 _WORD = re.compile(r"\w+")
@@ -99,14 +101,15 @@ def train(texts: list[str], labels: list[int], rounds: int = 40) -> Model:
     for words, y in zip(tokens, labels):
         seen[y].update({f for w in set(words) for f in features(w)})
     n = [max(1, labels.count(0)), max(1, labels.count(1))]
-    odds = {f: math.log((c + 0.1) / n[1]) - math.log((seen[0][f] + 0.1) / n[0]) for f, c in seen[1].items() if c >= max(2, 0.003 * n[1])}
+    # one neutral document more than seen, so that what few toxic documents share by chance doesn't count
+    odds = {f: math.log(c / n[1]) - math.log((seen[0][f] + 1) / n[0]) for f, c in seen[1].items() if c >= 3}
     marked = {f for f, v in odds.items() if v > 3.0}
     model = Model()
     if not marked:
         return model
     names = {f: i for i, f in enumerate(sorted(marked))}
     tags = [np.array([float(y and any(f in marked for f in features(w))) for w in words]) for words, y in zip(tokens, labels)]
-    keep = [i for i, w in enumerate(tokens) if w]
+    keep = [i for y in (0, 1) for i in [i for i, w in enumerate(tokens) if w and labels[i] == y][:CHAIN_ROWS]]
     rows, cols, at = [], [], 0
     for i in keep:
         for k, w in enumerate(tokens[i]):
