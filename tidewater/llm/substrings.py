@@ -314,6 +314,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = stored.select("path", F.lit(-1).cast("long").alias("p"), F.lit(b"").alias("bits"))
     spread = stored.select("path").repartition(max(1, min(files, 8 * C.parts_of(spark))), "path")
     first = C.cut(spread.mapInPandas(_first_requests(groups), REQUEST).groupBy("p").applyInPandas(_meet(True), ANSWER), "round-1")
-    wanted = first.unionByName(every).groupBy("path").applyInPandas(_second_requests(groups), REQUEST)
+    # answers are small but each batch is work: dealt out by number, lest adaptive execution gathers them in a few tasks
+    dealt = lambda answers: answers.unionByName(every).repartition(max(1, min(files, 8 * C.parts_of(spark))), "path").groupBy("path")
+    wanted = dealt(first).applyInPandas(_second_requests(groups), REQUEST)
     second = C.cut(wanted.groupBy("p").applyInPandas(_meet(False), ANSWER), "round-2")
-    return second.unionByName(every).groupBy("path").applyInPandas(_remove, RESULT)
+    return dealt(second).applyInPandas(_remove, RESULT)
