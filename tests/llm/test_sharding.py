@@ -13,6 +13,11 @@ def test_permutation_is_a_bijection(spark):
         assert got == list(range(n))
 
 
+def test_driver_and_column_forms_agree(spark):
+    got = [r[0] for r in spark.range(1000).orderBy("id").select(sharding.permuted(F.col("id"), 997)).collect()]
+    assert got == [sharding.permuted_number(x, 997) for x in range(1000)]
+
+
 def test_counts_and_slots(spark):
     texts = ["", None, "é", "same", "same"] + [f"t{i}" for i in range(500)]
     rows = sharding.shard_rows(awkward(spark, texts)).collect()

@@ -15,10 +15,10 @@ PRIME = 2147483647
 ROUNDS = ((1103515245, 12345), (1664525, 1013904223), (214013, 2531011), (22695477, 907633385), (69069, 362437), (134775813, 521288629))
 
 
-def _mix(x: Column, k: tuple[int, int]) -> Column:
+def _mix(x: Column, k: Column, c: Column) -> Column:
     """A round function that fits 64-bit arithmetic: two affine steps around a square, modulo PRIME."""
-    u = ((x % PRIME) * k[0] + k[1]) % PRIME
-    return (u * u + k[0]) % PRIME
+    u = ((x % PRIME) * k + c) % PRIME
+    return (u * u + k) % PRIME
 
 
 def _sides(n: int) -> tuple[int, int]:
@@ -33,13 +33,15 @@ def permuted(x: Column, n: int) -> Column:
     one half to the other, modulo that half's size.
     """
     a, b = _sides(n)
-    left, right = F.call_function("div", x, F.lit(b).cast("long")), x % b
-    for i, k in enumerate(ROUNDS):
-        if i % 2 == 0:
-            left = (left + _mix(right, k)) % a
-        else:
-            right = (right + _mix(left, k)) % b
-    return left * b + right
+    keys = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(c).cast("long").alias("c"), F.lit(i % 2 == 0).alias("on_left")) for i, (k, c) in enumerate(ROUNDS)])
+
+    def step(v: Column, r: Column) -> Column:
+        on, mix = r["on_left"], _mix(F.when(r["on_left"], v["right"]).otherwise(v["left"]), r["k"], r["c"])
+        return F.struct(F.when(on, (v["left"] + mix) % a).otherwise(v["left"]).alias("left"), F.when(on, v["right"]).otherwise((v["right"] + mix) % b).alias("right"))
+
+    # a fold keeps the expression small; written out, it would double with each round
+    start = F.struct(F.call_function("div", x, F.lit(b).cast("long")).alias("left"), (x % F.lit(b).cast("long")).alias("right"))
+    return F.aggregate(keys, start, step, lambda v: v["left"] * b + v["right"])
 
 
 def walked(x: Column, n: int, steps: int) -> Column:
