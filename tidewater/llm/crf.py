@@ -18,6 +18,8 @@ from tidewater.llm import _common as C
 SAMPLE_ROWS, SAMPLE_BYTES = 1200, 1 << 15
 #: Of these, so many of each class train the chain; all count for the features and the document layer.
 CHAIN_ROWS = 300
+#: A toxic feature is MARK times as frequent in toxic text as in other text; a document shows it BURST times at most.
+MARK, BURST = 12, 4
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 SCORED = "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>"
 _WORD = re.compile(r"\w+")
@@ -27,7 +29,7 @@ _REMEMBERED = 300_000
 def features(word: str) -> list[str]:
     """What the model sees of a token: the word and its beginnings."""
     w = word.lower()
-    return ["w=" + w] + [f"p{n}={w[:n]}" for n in (4, 5, 6) if len(w) >= n]
+    return ["w=" + w] + [f"p{n}={w[:n]}" for n in (4, 5, 6, 7) if len(w) >= n]
 
 
 class Model:
@@ -37,7 +39,7 @@ class Model:
         self.weights: dict[str, float] = {}
         self.bias, self.start = -4.0, -2.0
         self.trans = np.zeros((2, 2))
-        self.layer = (-3.0, 6.0)
+        self.layer = (-3.0, 6.0, 0.0)
 
     def emission(self, word: str) -> float:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
@@ -89,21 +91,41 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def document_feature(marginals: np.ndarray) -> float:
-    """Expected toxic tokens, on a log scale; no tokens: the lowest."""
-    return math.log(float(marginals.sum()) + 1e-3) if len(marginals) else math.log(1e-3)
+def document_features(marginals: np.ndarray) -> tuple[float, float, float]:
+    """One, expected toxic tokens and tokens on a log scale: long texts hold more chance likenesses."""
+    return 1.0, math.log(float(marginals.sum()) + 1e-3), math.log1p(len(marginals))
+
+
+def document_score(model: Model, marginals: np.ndarray) -> float:
+    return float(_sigmoid(np.dot(model.layer, document_features(marginals))))
+
+
+def telling(toxic: int, neutral: int, share: float, evidence: float) -> bool:
+    """Whether a feature's counts exceed `share` for toxic text by MARK times and by a likelihood ratio above `evidence`."""
+    n = toxic + neutral
+    p = toxic / n
+    if not 0 < share < 1 or p <= share:
+        return False
+    odds = math.log(toxic / (neutral + 0.5)) - math.log(share / (1 - share))
+    gain = toxic * math.log(p / share) + (neutral * math.log((1 - p) / (1 - share)) if neutral else 0.0)
+    return odds > math.log(MARK) and gain > evidence
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 40) -> Model:
-    """Fit on documents: tokens are labelled by features that only toxic documents have, then the chain by its likelihood."""
+    """Fit on documents: tokens are labelled by features far more frequent in toxic text, then the chain by its likelihood."""
     tokens = [_WORD.findall(t) for t in texts]
-    seen = [Counter(), Counter()]
+    shown, rates, totals = Counter(), [Counter(), Counter()], [0, 0]
     for words, y in zip(tokens, labels):
-        seen[y].update({f for w in set(words) for f in features(w)})
-    n = [max(1, labels.count(0)), max(1, labels.count(1))]
-    # one neutral document more than seen, so that what few toxic documents share by chance doesn't count
-    odds = {f: math.log(c / n[1]) - math.log((seen[0][f] + 1) / n[0]) for f, c in seen[1].items() if c >= 3}
-    marked = {f for f, v in odds.items() if v > 3.0}
+        # a word counts BURST times a document at most, so that a repeated line is not many witnesses
+        for w, k in Counter(words).items():
+            k = min(k, BURST)
+            totals[y] += k
+            for f in features(w):
+                rates[y][f] += k
+                shown[f] += y
+    share = totals[1] / max(1, sum(totals))
+    # of so many features chance alone marks one at most: the evidence has to beat the logarithm of their number
+    marked = {f for f, c in rates[1].items() if shown[f] >= 3 and telling(c, rates[0][f], share, math.log(len(rates[1])))}
     model = Model()
     if not marked:
         return model
@@ -145,12 +167,13 @@ def train(texts: list[str], labels: list[int], rounds: int = 40) -> Model:
         params = params + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     model.weights = {f: float(params[i]) for f, i in names.items()}
     model.bias, model.start, model.trans = float(params[-6]), float(params[-5]), params[-4:].reshape(2, 2)
-    feats = np.array([document_feature(x) for x in marginals(model, texts)])
-    label, a, c = np.array(labels, float), 0.0, 1.0
-    for _ in range(400):
-        e = label - _sigmoid(a + c * feats)
-        a, c = a + 0.5 * e.mean(), max(0.05, c + 0.1 * (e * feats).mean())
-    model.layer = (float(a), float(c))
+    x, y = np.array([document_features(p) for p in marginals(model, texts)]), np.array(labels, float)
+    layer, ridge = np.zeros(3), np.diag([1e-3, 1e-1, 1e-1])
+    for _ in range(25):  # Newton steps of a logistic regression
+        p = _sigmoid(x @ layer)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ layer)
+        layer = layer + step / max(1.0, float(np.abs(step).max()))
+    model.layer = tuple(float(v) for v in layer)
     return model
 
 
@@ -169,7 +192,7 @@ def _scorer(model: Model, threshold: float):
             for k in range(0, len(pdf), 512):
                 ids, texts = pdf["doc_id"].iloc[k : k + 512], pdf["text"].iloc[k : k + 512].tolist()
                 found = marginals(model, texts, emissions)
-                score = [float(_sigmoid(model.layer[0] + model.layer[1] * document_feature(p))) for p in found]
+                score = [document_score(model, p) for p in found]
                 spans = [[] if not (p > 0.5).any() else [{"start": x.start(), "end": x.end()} for x, q in zip(_WORD.finditer(t), p) if q > 0.5] for t, p in zip(texts, found)]
                 yield pd.DataFrame({"doc_id": ids.to_numpy(), "score": score, "predicted": [int(x >= threshold) for x in score], "spans": spans})
 
@@ -192,8 +215,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, score, predicted, spans (character offsets of toxic tokens).
 
-    Only text is an input of a score. Null and empty texts have no tokens,
-    the lowest score and no spans. Repeated rows are scored each. Without
+    Only text is an input of a score. Null and empty texts have no spans and
+    the score of no expected toxic tokens. Repeated rows are scored each. Without
     usable labels every score is the untrained model's. An empty table gives
     an empty result.
     """
