@@ -30,3 +30,11 @@ def test_awkward_rows(spark):
     assert len(rows) == 6 and all(0 <= r["_probability"] <= 1 and r["_kept"] is not None for r in rows)
     assert {r.doc_id: r["_tokens"] for r in rows} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 1, None: 8}
     assert mixing.mixed(empty(spark)).count() == 0
+
+
+def test_cells_joined_by_shuffle_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pick = lambda: sorted((r.doc_id, r._probability, r._kept) for r in mixing.mixed(docs).select("doc_id", "_probability", "_kept").collect())
+    sent = pick()
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert pick() == sent

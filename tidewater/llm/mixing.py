@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ALPHA, KEEP, SEED, MAX_CELLS = 0.7, 0.8, 17, 1_000_000
+#: Cells are broadcast up to so many bytes of their names, else joined by shuffle.
+BROADCAST_BYTES = 4 << 20
 AXES = ("source", "lang", "topic")
 
 
@@ -84,5 +86,6 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, a
     chance = probabilities(tokens, weight, keep) if tokens.sum() else np.full(len(tokens), keep)
     cells = spark.createDataFrame([(*(r[n] for n in names), float(w), float(p)) for r, w, p in zip(found, weight, chance)], ", ".join(f"{n} string" for n in names) + ", _weight double, _probability double")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    # at most MAX_CELLS rows; the planner broadcasts them only below its size threshold
-    return rows.join(cells, names, "left").withColumn("_kept", draw < F.col("_probability"))
+    # the cells' size is known here, so that whole texts needn't be shuffled to find it out
+    size = sum(16 + sum(len(r[n].encode("utf-8", "surrogatepass")) for n in names) for r in found)
+    return rows.join(F.broadcast(cells) if size <= BROADCAST_BYTES else cells, names, "left").withColumn("_kept", draw < F.col("_probability"))
