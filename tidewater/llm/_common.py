@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no spark.checkpoint.dir, as in tests on one machine.
 LOCAL_SHARED = "file:///tmp/checkpoints/tidewater"
+#: Texts in one batch to a Python worker, at most; a worker holds a batch or two.
+BATCH_ROWS = 1000
 
 _made: list[str] = []
 
@@ -79,5 +81,13 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS; whole texts make 10,000 rows too large for a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -220,6 +220,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     usable labels every score is the untrained model's. An empty table gives
     an empty result.
     """
+    C.small_batches(docs.sparkSession)
     sample = training_rows(docs, labels, "toxic", FOLDS, HELD_OUT)
     model = train([t for t, _ in sample], [y for _, y in sample]) if sample else Model()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scorer(model, threshold), SCORED)

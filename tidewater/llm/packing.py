@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import _common as C
 
-WINDOW, END_ID, CACHED = 1024, 0, 400_000
+WINDOW, END_ID, CACHED = 1024, 0, 100_000
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
 #: Unicode's White_Space, as the tokenizer's \s reads it.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -26,7 +26,8 @@ class Encoder(dict):
     """Ids of whole texts as little-endian 32-bit numbers, from a byte-level BPE file.
 
     No token spans the place where a run of white space begins, so a text is
-    encoded chunk by chunk and chunks are remembered, CACHED at most. The
+    encoded chunk by chunk and chunks are remembered, CACHED at most: half of
+    them are the latest, half older ones that come back when they are met. The
     merges run in tiktoken, whose ids are those of the tokenizers library for
     the same file; special tokens' strings are ordinary text.
     """
@@ -41,12 +42,16 @@ class Encoder(dict):
         special = {x["content"] for x in json.load(open(path, encoding="utf-8")).get("added_tokens", [])}
         ranks = {bytes(byte_of[c] for c in w): i for w, i in vocab.items() if w not in special}
         self.bpe = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        ids = np.array(self.bpe.encode_ordinary(chunk), "<u4").tobytes()
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = np.array(self.bpe.encode_ordinary(chunk), "<u4").tobytes()
         if len(chunk) < 64:
+            if len(self) >= CACHED // 2:
+                self.older = dict(self)
+                self.clear()
             self[chunk] = ids
         return ids
 
@@ -98,6 +103,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, window: int
     """
     import public_tokenizers as P
 
+    C.small_batches(docs.sparkSession)
     run = _cutter(tokenizer or P.path("byte_bpe_50k.json"), P.PATTERN, window)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE)
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm import _common as C
 from tidewater.llm.crf import training_rows
 
 PASSAGE, HIDDEN, GATES = 600, 12, 8
@@ -123,6 +124,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
+    C.small_batches(docs.sparkSession)
     sample = training_rows(docs, labels, "quality", FOLDS, HELD_OUT, SAMPLE_ROWS, SAMPLE_BYTES)
     return train([t for t, _ in sample], [y for _, y in sample]) if sample else Model()
 

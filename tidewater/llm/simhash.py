@@ -110,6 +110,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     has a null component_id. Other columns are not read. An empty table gives
     an empty result.
     """
+    C.small_batches(docs.sparkSession)
     rows = C.cut(docs.select(F.col(id_col).alias("id"), F.pandas_udf(_fingerprints, T.LongType())(F.col(text_col)).alias("fp")), "simhash-rows")
     firsts = C.cut(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
     roots = components(links(firsts.select("fp")))
