@@ -34,6 +34,11 @@ def test_against_brute_force(spark):
     check(spark, TEXTS)
 
 
+def test_hot_and_other_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact, "HOT", 4)
+    check(spark, ["hot"] * 20 + ["h ot"] * 10 + ["warm", "wa rm", "cold", None, "", "x" * 20_000, "x" * 20_000])
+
+
 def test_colliding_block_keys_are_made_anew(spark):
     weak = lambda block, salt: F.struct((F.octet_length(block) if salt == 0 else F.xxhash64(F.lit(salt), block)).cast("long").alias("x"), F.lit(0).alias("y"))
     check(spark, TEXTS, block_bytes=3000, block_key=weak)
