@@ -25,6 +25,39 @@ def test_sampling_follows_the_targets(spark):
     assert abs(len(out) / 6000 - 0.3) < 0.03
 
 
+def reached(rows, axis):
+    kept = {}
+    for r in rows:
+        kept[r[axis]] = kept.get(r[axis], 0) + r["_tokens"] * r["_probability"]
+    return {v: n / sum(kept.values()) for v, n in kept.items()}
+
+
+def test_bounded_chances_reach_the_targets_at_the_production_keep(spark, caplog):
+    # a hot source and uneven languages and topics: many cells' weight times KEEP is above 1
+    rows = [(i, "w " * 50, ("en", "en", "en", "de")[i % 4], "hot" if i % 3 == 0 else f"s{i % 7}", ("t0", "t1")[i % 5 < 2]) for i in range(4200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    have = {f"s{k}": 2 / 21 for k in range(7)} | {"hot": 1 / 3}
+    source = {s: 0.25 if s == "hot" else 0.75 / 7 for s in have}
+    targets = {"source": source, "lang": {"en": 0.7, "de": 0.3}, "topic": {"t0": 0.55, "t1": 0.45}}
+    out = mixing.mixed(docs, targets).collect()
+    assert max(r["_weight"] for r in out) * mixing.KEEP > 1 and max(r["_probability"] for r in out) <= 1
+    assert abs(sum(r["_tokens"] * r["_probability"] for r in out) / sum(r["_tokens"] for r in out) - mixing.KEEP) < 1e-5
+    for axis, wanted in targets.items():
+        got = reached(out, f"_{axis}")
+        assert all(abs(got[v] - wanted[v]) < 1e-5 for v in wanted), axis
+    assert not caplog.records
+
+
+def test_a_target_out_of_reach_is_stated_and_the_others_share_the_rest(spark, caplog):
+    rows = [(i, "w " * 50, ("en", "de")[i % 2], "rare" if i % 50 == 0 else ("a", "b", "b")[i % 3]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.mixed(docs, {"source": {"rare": 0.2, "a": 0.3, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}}).collect()
+    got = reached(out, "_source")
+    assert abs(got["rare"] - 0.02 / 0.8) < 1e-4 and abs(got["a"] / got["b"] - 0.6) < 1e-3
+    assert abs(reached(out, "_lang")["en"] - 0.5) < 1e-3
+    assert "source rare 0.2000 -> 0.0250" in caplog.text and "up to keep 0.100" in caplog.text
+
+
 def test_awkward_rows(spark):
     rows = mixing.mixed(awkward(spark, ["", None, "a b", "a b", "x" * 200_000])).collect()
     assert len(rows) == 6 and all(0 <= r["_probability"] <= 1 and r["_kept"] is not None for r in rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,9 @@ ALPHA, KEEP, SEED, MAX_CELLS = 0.7, 0.8, 17, 1_000_000
 #: Cells are broadcast up to so many bytes of their names, else joined by shuffle.
 BROADCAST_BYTES = 4 << 20
 AXES = ("source", "lang", "topic")
+#: Targets out of reach that are logged one by one.
+TOLD = 20
+log = logging.getLogger(__name__)
 
 
 def raked(cells: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-9) -> np.ndarray:
@@ -28,15 +33,59 @@ def raked(cells: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray],
     return mass
 
 
-def probabilities(tokens: np.ndarray, weight: np.ndarray, keep: float) -> np.ndarray:
-    """min(1, s * weight) with s such that the expected tokens are `keep` of all."""
-    want, low, high = keep * tokens.sum(), 0.0, 1.0
-    while (tokens * np.minimum(1, high * weight)).sum() < want * (1 - 1e-12) and high < 1e30:
-        high *= 2
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (tokens * np.minimum(1, mid * weight)).sum() < want else (low, mid)
-    return np.minimum(1, high * weight)
+def reachable(share: np.ndarray, have: np.ndarray, total: float) -> np.ndarray:
+    """Tokens of each value: as `share` says, but at most what the value has; what it lacks goes to the others by their shares."""
+    full = np.zeros(len(share), bool)
+    while True:
+        rest, left = share[~full].sum(), total - have[full].sum()
+        want = np.where(full, have, share * max(0.0, left) / rest if rest else 0.0)
+        over = ~full & (want > have)
+        if not over.any():
+            return want
+        full |= over
+
+
+def chances(tokens: np.ndarray, weight: np.ndarray, index: list[np.ndarray], shares: list[np.ndarray], keep: float, rounds: int = 500, tolerance: float = 1e-7) -> np.ndarray:
+    """Probabilities min(1, product of one factor for each axis) with `keep` of all tokens expected and the shares on every axis.
+
+    Where a weight times `keep` is above 1 the weights are raked again under
+    that bound, so the other cells make up for what a full one can't give. A
+    value with fewer tokens than its target is kept whole, and the others of
+    its axis share the rest. Raising a factor never overshoots, as the bound
+    makes the kept tokens concave in it.
+    """
+    if (keep * weight).max(initial=0) <= 1:
+        return keep * weight
+    alive = np.where(np.logical_and.reduce([share[at] > 0 for at, share in zip(index, shares)]), tokens, 0.0)
+    total = min(keep * tokens.sum(), alive.sum())
+    wants = [reachable(share, np.bincount(at, alive, len(share)), total) for at, share in zip(index, shares)]
+    factor = keep * weight
+    for _ in range(rounds):
+        worst = 0.0
+        for at, want in zip(index, wants):
+            now = np.bincount(at, alive * np.minimum(1, factor), len(want))
+            scale = np.divide(want, now, out=np.ones_like(want), where=now > 0)
+            worst = max(worst, float(np.abs(want - now).max(initial=0)) / total)
+            factor = np.clip(factor * scale[at], 0, 1e100)
+        if worst < tolerance:
+            break
+    return np.minimum(1, factor)
+
+
+def shortfall(tokens: np.ndarray, chance: np.ndarray, index: list[np.ndarray], shares: list[np.ndarray], near: float = 1e-4) -> list[tuple[int, int, float, float]]:
+    """(axis, value, target, reached) as shares of the expected tokens, where they differ by more than `near`; farthest first."""
+    kept = tokens * chance
+    found = []
+    for a, (at, share) in enumerate(zip(index, shares)):
+        got = np.bincount(at, kept, len(share)) / max(kept.sum(), 1e-300)
+        found += [(a, int(v), float(share[v]), float(got[v])) for v in np.flatnonzero(np.abs(got - share) > near)]
+    return sorted(found, key=lambda x: -abs(x[2] - x[3]))
+
+
+def largest_keep(tokens: np.ndarray, index: list[np.ndarray], shares: list[np.ndarray]) -> float:
+    """The share of all tokens above which some value has fewer tokens than its target."""
+    most = [np.bincount(at, tokens, len(share))[share > 0] / share[share > 0] for at, share in zip(index, shares)]
+    return min([1.0, *(float(m.min()) / tokens.sum() for m in most if len(m))])
 
 
 def with_axes(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -59,9 +108,11 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, a
     Token masses of the (source, lang, topic) cells, at most MAX_CELLS rows,
     are raked on the driver to the target shares of each axis; without
     targets a value's share is its tokens to the power alpha. A cell's weight
-    is its raked over its present mass, and documents are kept independently
-    with probability min(1, s * weight), s set for `keep` of all tokens. The
-    draw is a hash of id, text and seed, so repeated rows share their fate.
+    is its raked over its present mass. Documents are kept independently with
+    probability `keep` * weight, raked again where that is above 1 (`chances`),
+    so that `keep` of all tokens have the target shares; targets that the
+    tokens can't give at this `keep` are logged with what is reached instead.
+    The draw is a hash of id, text and seed, so repeated rows share their fate.
 
     Null source and language count as the empty value; targets for values
     without tokens are left out and the rest scaled up. Empty texts have no
@@ -83,7 +134,10 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, a
         shares.append(want / want.sum() if want.sum() else want)
     mass = raked(tokens, index, shares) if tokens.sum() else tokens
     weight = np.divide(mass, tokens, out=np.ones_like(mass), where=tokens > 0)
-    chance = probabilities(tokens, weight, keep) if tokens.sum() else np.full(len(tokens), keep)
+    chance = chances(tokens, weight, index, shares, keep) if tokens.sum() else np.full(len(tokens), keep)
+    if tokens.sum() and (missed := shortfall(tokens, chance, index, shares)):
+        told = ", ".join(f"{AXES[a]} {np.unique([r[names[a]] for r in found])[v]} {want:.4f} -> {got:.4f}" for a, v, want, got in missed[:TOLD])
+        log.warning("keep %g: %d targets are out of reach (all have the tokens up to keep %.3f); target -> reached, farthest first: %s", keep, len(missed), largest_keep(tokens, index, shares), told)
     cells = spark.createDataFrame([(*(r[n] for n in names), float(w), float(p)) for r, w, p in zip(found, weight, chance)], ", ".join(f"{n} string" for n in names) + ", _weight double, _probability double")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     # the cells' size is known here, so that whole texts needn't be shuffled to find it out
