@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import _common as C
-from tidewater.llm import exact, mixing, packing, quality, simhash
+from tidewater.llm import exact, mixing, near, packing, quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,9 +36,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near-duplicates."""
-    groups = simhash.simhash_components(docs)
-    return _chosen(docs, C.cut(groups.filter("doc_id != component_id").select("doc_id").distinct(), "near-copies"), False)
+    """The document with the smallest id of each component of SimHash links and of texts that share 0.8 of their five-word shingles."""
+    gone = C.cut(near.near_copies(docs), "near-copies")
+    return docs.withColumn("node", near.text_key(F.col("text"))).join(gone, "node", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
