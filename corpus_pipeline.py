@@ -21,18 +21,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.filter(quality.score_udf(model)(F.col("text")) >= quality.THRESHOLD).select(*COLUMNS)
 
 
-def _chosen(docs: DataFrame, gone: DataFrame, once: bool) -> DataFrame:
-    """docs without the rows whose ids are gone; of rows that repeat an id and are equal, one where `once` is set."""
-    out = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    return out.dropDuplicates(["doc_id", "text"]) if once else out
-
-
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    groups = C.cut(exact.exact_groups(docs), "exact-decisions")
-    ids = groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    repeated = bool(ids.filter("n > 1").limit(1).count())
-    return _chosen(docs, ids.filter("not kept").select("doc_id"), repeated)
+    """One document of each group of equal texts.
+
+    Rows are known by id and text together, so null and repeated ids are
+    decided one by one; of rows that repeat both, one stays.
+    """
+    key = near.text_key(F.col("text"))
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), key.alias("node")).alias("id"), "text")
+    groups = C.cut(exact.exact_groups(keyed, "id"), "exact-decisions")
+    ids = groups.groupBy("id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    repeated = bool(ids.filter("kept and n > 1").limit(1).count())
+    gone = ids.filter("not kept").select(F.col("id.doc_id").alias("gone_id"), F.col("id.node").alias("gone_node"))
+    out = docs.withColumn("node", key).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("node") == F.col("gone_node")), "left_anti")
+    return (out.dropDuplicates(["doc_id", "node"]) if repeated else out).select(*COLUMNS)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
