@@ -58,3 +58,27 @@ def test_same_ids_are_not_originals(spark):
 
 def test_empty(spark):
     assert substrings.without_repeats(empty(spark)).count() == 0
+
+
+def test_one_passage_in_every_document_and_large_ids(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(1, 6)))
+    passage = " ".join(word() for _ in range(25))
+    texts = [" ".join([*(word() for _ in range(rng.randint(0, 15))), passage[rng.randint(0, 3) :], *(word() for _ in range(rng.randint(0, 15)))]) for _ in range(150)]
+    ids = sorted(rng.sample(range(1 << 62), len(texts)))
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    for size in (1500, 1 << 20):  # many batches; one batch, where the passage's names are hot
+        rows = {r.doc_id: bytes(r.kept) for r in substrings.without_repeats(docs.repartition(3), batch_bytes=size).collect()}
+        for i, t, gone in zip(ids, texts, brute([t.encode() for t in texts])):
+            assert rows[i] == bytes(b for b, g in zip(t.encode(), gone) if not g)
+
+
+def test_packed_numbers():
+    import numpy as np
+
+    for v in ([0], [5, 5, 7], [0, 255, 256, 1 << 40], [(1 << 64) - 1]):
+        v = np.array(v, np.uint64)
+        assert (substrings._from_gaps(substrings._gaps(v)) == v).all()
+        assert (substrings._from_bytes(substrings._cut_bytes(v)) == v).all()
+    places = substrings._place(np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2)), 7)
+    assert places.min() == 0 and places.max() == 6 and (np.diff(places) >= 0).all()

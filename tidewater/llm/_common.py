@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +20,10 @@ _made: list[str] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, without a closing slash."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -47,6 +53,21 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             _made.remove(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are no longer held; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@atexit.register
+def _release_all() -> None:
+    """Delete what is left when the driver ends in order; after a crash the application's folder stays."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            release(spark)
+
+
 def mark() -> int:
     """The number of tables cut so far; `since(mark)` lists later ones."""
     return len(_made)
