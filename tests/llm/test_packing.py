@@ -8,21 +8,19 @@ from tokenizers import Tokenizer
 from tests.llm.frames import awkward, empty
 from tidewater.llm import packing
 
-TEXTS = ["", None, "a", " lead", "trail ", "two  spaces", "tabs\t\tand\n\n lines\n", "x \n y", "  \n", "don't won't I'LL", "é ñ  z", "<|endoftext|> is text", "word " * 3000, "日本語 テキスト", "a\x1cb \x1c c", "x" * 5000]
+TEXTS = ["", None, "a", " lead", "trail ", "two  spaces", "tabs\t\tand\n\n lines\n", "x \n y", "  \n", "don't won't I'LL", "é ñ  z", "<|endoftext|> is text", "a <|endoftext|>  <|endoftext|>b", "<|endoftext|>" * 3, "<|endoftext| >", "word " * 3000, "日本語 テキスト", "a\x1cb \x1c c", "x" * 5000]
 
 
 def test_ids_are_the_tokenizers_librarys():
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     encoder = packing.Encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
     rng = random.Random(5)
-    for t in [x or "" for x in TEXTS] + ["".join(rng.choices(" \n\tab'sé1!.　", k=60)) for _ in range(400)]:
+    for t in [x or "" for x in TEXTS] + ["".join(rng.choices(" \n\tab'sé1!.　", k=60)) for _ in range(400)] + ["".join(rng.choices(["<|endoftext|>", "<|", " ", "\n", "ab"], k=12)) for _ in range(100)]:
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 def test_round_trip(spark):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = TEXTS + [f"text {i} " * (i % 90) for i in range(300)]
     rows = packing.packed_documents(awkward(spark, texts)).collect()
     sequences, docs = {}, {}
@@ -68,3 +66,10 @@ def test_plan_fills_as_full_as_any_subset():
 
 def test_empty(spark):
     assert packing.packed_documents(empty(spark)).count() == 0
+
+
+def test_repeated_ids_and_extra_columns(spark):
+    rows = [(7, "one two", 1, "x"), (7, "one two", 2, "y"), (None, "three", 3, None), (None, None, 4, None)]
+    out = packing.packed_documents(spark.createDataFrame(rows, "doc_id long, text string, length int, sequence_id string")).collect()
+    assert sorted((r.doc_id is None, r.doc_tokens) for r in out) == [(False, 3), (False, 3), (True, 1), (True, 2)]
+    assert {r.sequence_id for r in out} == {0} and sorted(r.offset for r in out)[0] == 0

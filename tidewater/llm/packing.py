@@ -25,22 +25,30 @@ _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 class Encoder(dict):
     """Ids of whole texts as little-endian 32-bit numbers, from a byte-level BPE file.
 
-    No token spans the place where a run of white space begins, so a text is
-    encoded chunk by chunk and chunks are remembered, CACHED at most: half of
-    them are the latest, half older ones that come back when they are met. The
-    merges run in tiktoken, whose ids are those of the tokenizers library for
-    the same file; special tokens' strings are ordinary text.
+    The strings of the file's added tokens are cut out first and get their own
+    ids, as the tokenizers library does unless told otherwise. No token of the
+    rest spans the place where a run of white space begins, so it is encoded
+    chunk by chunk and chunks are remembered, CACHED at most: half of them are
+    the latest, half older ones that come back when they are met. The merges
+    run in tiktoken, whose ids are those of the tokenizers library for the
+    same file.
     """
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
-        vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        with open(path, encoding="utf-8") as f:
+            read = json.load(f)
         # byte-level alphabet: printable bytes stand for themselves, others follow from U+0100 on
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
-        special = {x["content"] for x in json.load(open(path, encoding="utf-8")).get("added_tokens", [])}
-        ranks = {bytes(byte_of[c] for c in w): i for w, i in vocab.items() if w not in special}
+        added = read.get("added_tokens", [])
+        if any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that take in what stands around them aren't supported")
+        self.added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
+        ranks = {bytes(byte_of[c] for c in w): i for w, i in read["model"]["vocab"].items() if w not in self.added}
         self.bpe = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.older: dict[str, bytes] = {}
 
@@ -56,6 +64,11 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self.cuts is None or not self.cuts.search(text):
+            return self.ordinary(text)
+        return b"".join(self.added.get(part) or self.ordinary(part) for part in self.cuts.split(text))
+
+    def ordinary(self, text: str) -> bytes:
         if _RUN.search(text):
             return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
         first, *rest = text.split(" ")
