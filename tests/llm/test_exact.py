@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from tests.llm.frames import awkward, empty
-from tidewater.llm import exact
+from tidewater.llm import _common, exact
 
 
 def norm(t):
@@ -35,7 +35,7 @@ def test_against_brute_force(spark):
 
 
 def test_hot_and_other_groups(spark, monkeypatch):
-    monkeypatch.setattr(exact, "HOT", 4)
+    monkeypatch.setattr(_common, "HOT_SHARE", 4)
     check(spark, ["hot"] * 20 + ["h ot"] * 10 + ["warm", "wa rm", "cold", None, "", "x" * 20_000, "x" * 20_000])
 
 

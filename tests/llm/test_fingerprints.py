@@ -1,5 +1,8 @@
 import hashlib
 import random
+from collections.abc import Iterator
+
+import pandas as pd
 
 from tests.llm.frames import awkward, empty
 from tidewater.llm import fingerprints as fp
@@ -33,5 +36,27 @@ def test_groups(spark):
     assert [(rows[i].group_id, rows[i].group_size) for i in range(5)] == [(0, 2), (0, 2), (2, 1), (3, 2), (3, 2)]
 
 
+def test_groups_of_the_query_and_both_joins(spark):
+    rng = random.Random(12)
+    texts = [None, "", " "] + ["".join(rng.choices("aA ", k=rng.randint(0, 4))) for _ in range(200)]
+    of = {}
+    for i, t in enumerate(texts):
+        of.setdefault(fp.canonical(t), []).append(i)
+    want = {i: (min(g), len(g)) for g in of.values() for i in g}
+    for rows in (fp.edited_fingerprints(awkward(spark, texts)), fp.fingerprint_groups(awkward(spark, texts), broadcast_rows=0)):
+        got = {r.doc_id: (r.group_id, r.group_size) for r in rows.collect()}
+        assert got.pop(None) == (None, 1) and got == want
+
+
+def test_bytes_are_compared_where_fingerprints_agree(spark):
+    def weak(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame({"fingerprint": [str(len(t)) for t in texts], "bytes": [t.encode() for t in texts]})
+
+    docs = spark.createDataFrame(list(enumerate(["ab", "cd", "ab", "x", "cd", "ef"])), "doc_id long, text string")
+    rows = fp.fingerprint_groups(docs, digests=weak).collect()
+    assert {r.doc_id: (r.group_id, r.group_size) for r in rows} == {0: (0, 2), 2: (0, 2), 1: (1, 2), 4: (1, 2), 3: (3, 1), 5: (5, 1)}
+
+
 def test_empty(spark):
     assert fp.edited_fingerprints(empty(spark)).count() == 0 and fp.fingerprint_groups(empty(spark)).count() == 0

@@ -15,6 +15,9 @@ LOCAL_SHARED = "file:///tmp/checkpoints/tidewater"
 #: Texts in one batch to a Python worker, at most; a worker holds a batch or two.
 BATCH_ROWS = 1000
 
+#: See `join_groups`.
+HOT_SHARE = 1000
+
 _made: list[str] = []
 
 
@@ -97,6 +100,20 @@ def lead(spark: SparkSession, table: str, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows joined with their groups, which hold a count of their rows in column `size`.
+
+    Groups with more than one in HOT_SHARE rows are fewer than HOT_SHARE, so
+    they may be broadcast and their rows stay where they are; the others meet
+    their group by shuffle, no group above that share of the rows.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) * HOT_SHARE > total
+    large = groups.filter(hot)
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(large), keys).unionByName(rest.join(groups.filter(~hot), keys))
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; the folds of the labelled rows."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(n))

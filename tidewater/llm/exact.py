@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from tidewater.llm import _common as C
 
 BLOCK_BYTES = 8192
-#: Groups with more than one in HOT rows are hot: fewer than HOT groups, so they may be broadcast.
-HOT = 1000
 _SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
@@ -81,9 +79,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = C.cut(rows.drop("keys").join(done, "row"), "exact-known")
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row")))
     groups = C.cut(known.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "exact-groups")
-    # rows of hot groups stay where they are, the others meet their group by shuffle
-    keys, hot = ["level", "name"], F.col("group_size") * HOT > (groups.agg(F.sum("group_size")).first()[0] or 0)
-    large = groups.filter(hot)
-    rest = known.join(F.broadcast(large.select(*keys)), keys, "left_anti")
-    joined = known.join(F.broadcast(large), keys).unionByName(rest.join(groups.filter(~hot), keys))
+    joined = C.join_groups(known, groups, ["level", "name"], "group_size")
     return joined.select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import _common as C
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: So many repeated fingerprints are broadcast, at most.
+BROADCAST_ROWS = 200_000
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, content string"
 
 
 def canonical(text: str | None) -> bytes:
@@ -36,24 +38,47 @@ def likeness(a: bytes, b: bytes) -> float:
     return float(xxhash.xxh3_128_digest(a) == xxhash.xxh3_128_digest(b) and a == b)
 
 
-def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, fingerprint, group_id (smallest id with the same canonical text), group_size.
+def _digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        c = [canonical(t) for t in texts]
+        yield pd.DataFrame({"fingerprint": [xxhash.xxh3_128_hexdigest(x) for x in c], "bytes": c})
+
+
+_digests.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+
 
-    Rows meet by digest; within a digest the canonical bytes are compared by
-    the grouping itself, so texts that only share a digest stay apart. Nulls
-    count as empty texts; a group of null ids has a null group_id.
+def with_groups(rows: DataFrame, texts: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """rows (fingerprint, content, doc_id) with group_id and group_size by canonical text.
+
+    texts has doc_id, fingerprint and bytes of the same rows, made anew where
+    it is read. Rows meet by fingerprint first; only bytes of fingerprints that
+    come more than once are compared, by grouping them with the fingerprint,
+    copies being merged before the shuffle. content, the SHA-256 of the bytes,
+    leads a row to its group, so texts that only share a fingerprint stay
+    apart. Up to `broadcast_rows` repeated fingerprints are broadcast, more
+    are joined by shuffle.
     """
+    repeated = C.cut(rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fingerprint"), "fingerprints-repeated")
+    some = F.broadcast(repeated) if repeated.count() <= broadcast_rows else repeated
+    same = texts.join(some, "fingerprint", "left_semi").groupBy("fingerprint", "bytes").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = C.cut(same.select("fingerprint", F.sha2("bytes", 256).alias("content"), "group_id", "group_size").filter("group_size > 1"), "fingerprint-groups")
+    keys = ["fingerprint", "content"]
+    alone = rows.join(F.broadcast(groups.select(*keys)) if repeated.count() <= broadcast_rows else groups.select(*keys), keys, "left_anti")
+    return C.join_groups(rows, groups, keys, "group_size").unionByName(alone.withColumns({"group_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")}))
+
 
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            c = [canonical(t) for t in texts]
-            yield pd.DataFrame({"fp": [xxhash.xxh3_128_hexdigest(x) for x in c], "bytes": c})
+def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, digests=_digests) -> DataFrame:
+    """One row per input row: id, fingerprint, group_id (smallest id with the same canonical text), group_size.
 
-    digests.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    x = F.pandas_udf(digests, "fp string, bytes binary")(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), x.alias("x")).select("id", "x.fp", "x.bytes")
-    groups = rows.groupBy("fp", "bytes").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, ["fp", "bytes"]).select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "group_id", "group_size")
+    Nulls count as empty texts; a group of null ids has a null group_id.
+    Repeated rows count each. An empty table gives an empty result.
+    """
+    C.small_batches(docs.sparkSession)
+    x = F.pandas_udf(digests, "fingerprint string, bytes binary")(F.col(text_col))
+    texts = docs.select(F.col(id_col).alias("doc_id"), x.alias("x")).select("doc_id", "x.fingerprint", "x.bytes")
+    rows = C.cut(texts.select("doc_id", "fingerprint", F.sha2("bytes", 256).alias("content")), "fingerprints")
+    out = with_groups(rows, texts, broadcast_rows)
+    return out.select(F.col("doc_id").alias(id_col), "fingerprint", "group_id", "group_size")
 
 
 def _edit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +91,7 @@ def _edit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edited = text[: n - half] + nxt[1][:half]
         ce = canonical(edited) if half else c
         fp, fe = xxhash.xxh3_128_hexdigest(c), xxhash.xxh3_128_hexdigest(ce)
-        return i, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fp, fe, likeness(c, ce), likeness(c, nxt[2])
+        return i, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fp, fe, likeness(c, ce), likeness(c, nxt[2]), hashlib.sha256(c).hexdigest()
 
     bucket = None
     for batch in rows:
@@ -81,13 +106,13 @@ def _edit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _result(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    cols = list(zip(*rows)) or [[]] * 7
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+    cols = list(zip(*rows)) or [[]] * 8
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in EDITED.split(", ")])
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its text with the last half replaced by the next document's start.
+    """Fingerprints of every text and of its text with the last half replaced by the next document's start; the groups of equal canonical texts.
 
     Documents follow each other by descending id, null ids last, equal ids by
     text; the first follows the last. They are dealt to ranges of ids once;
@@ -96,6 +121,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives an empty result.
     """
     spark = docs.sparkSession
+    C.small_batches(spark)
     n = C.parts_of(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # ranges of ids from a sample sketch; how even they are doesn't change the result
@@ -112,4 +138,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         edge = F.element_at(F.create_map(*[F.lit(v) for kv in ahead.items() for v in kv]), F.col("key"))
     placed = rows.withColumn("key", key).withColumn("b", of(F.col("key"))).select("key", "text", "doc_id", F.explode(F.filter(F.array(F.struct(F.col("b"), F.lit(False).alias("edge")), F.struct(edge.alias("b"), F.lit(True).alias("edge"))), lambda x: x["b"].isNotNull())).alias("x"))
     dealt = placed.select("x.b", "x.edge", "key", "doc_id", "text").repartitionById(max(order, default=0) + 1, F.col("b").cast("int"))
-    return dealt.sortWithinPartitions("b", "edge", F.desc("key"), "text").select("b", "doc_id", "text", "edge").mapInArrow(_edit, EDITED)
+    edited = C.cut(dealt.sortWithinPartitions("b", "edge", F.desc("key"), "text").select("b", "doc_id", "text", "edge").mapInArrow(_edit, EDITED), "fingerprints")
+    C.free_shuffles(spark)  # whole texts, of no use any more
+    x = F.pandas_udf(_digests, "fingerprint string, bytes binary")(F.col("text"))
+    return with_groups(edited, rows.select("doc_id", x.alias("x")).select("doc_id", "x.fingerprint", "x.bytes")).drop("content")
