@@ -43,7 +43,7 @@ WINDOW = SPAN - FIRST + 1
 #: Starts in a range, round by round; the first is a whole window.
 WIDTHS = (WINDOW, 12, 6, 3, 1)
 #: Text in a batch, and names where they meet, in bytes; a worker takes about twelve times the first.
-BATCH_BYTES, MEET_BYTES = 16 << 20, 12 << 20
+BATCH_BYTES, MEET_BYTES = 10 << 20, 12 << 20
 #: A name is hot with so many anchors in one batch or with so many batches; its contexts are dealt out one by one.
 HOT_IN_BATCH, HOT_BATCHES = 64, 4096
 #: Bits of a class's number in its batch, of a start in a range, and of a batch's number in its task.
@@ -388,13 +388,15 @@ def _round(items: DataFrame) -> DataFrame:
 
     A pair's new rank is the least id of its ranges, which no other pair has.
     A pair that one document has drops out. Minima are taken before the
-    shuffle, and the join back to the ranges is one that adaptive execution
-    splits, so a pair may belong to any share of the rows.
+    shuffle, and the join of the ranges with the table of pairs is one that
+    adaptive execution splits, so a pair may belong to any share of the rows.
     """
     pairs = items.groupBy("rank", "ext").agg(
         F.min(F.struct("doc", "left", "right")).alias("best"), F.max("doc").alias("top"), F.min("id").alias("name"), F.min("rest").alias("least"), F.max("rest").alias("most")
     )
-    met = items.join(pairs.filter("top > best.doc"), ["rank", "ext"])
+    pairs = C.cut(pairs.filter("top > best.doc").drop("top"), "doubling-pairs")
+    C.free_shuffles(items.sparkSession)
+    met = items.join(pairs, ["rank", "ext"])
     known = (F.col("doc") > F.col("best.doc")) & (F.col("left") == F.col("best.left")) & (F.col("right") == F.col("best.right"))
     return met.select("id", "doc", F.col("name").alias("rank"), "left", "right", known.alias("known"), (F.col("least") != F.col("most")).alias("differ")).filter("known or differ").drop("differ")
 
@@ -403,7 +405,11 @@ def doubled(classes: DataFrame) -> DataFrame:
     """(id of a class, mask): bit k is set when the string that starts k bytes before the class's anchor is in a smaller document."""
     items, fates = classes, None
     for width, part in zip(WIDTHS, WIDTHS[1:]):
-        table = C.cut(_round(_parts(items, width, part)), "doubling")
+        start = C.mark()
+        met = _round(_parts(items, width, part))
+        used = C.since(start)
+        table = C.cut(met, "doubling")
+        C.release(classes.sparkSession, used)
         mask = F.call_function("shiftleft", F.lit((1 << part) - 1).cast("long"), F.col("id").bitwiseAND((1 << START_BITS) - 1).cast("int"))
         own = table.filter("known").select(F.shiftright("id", START_BITS).alias("class"), mask.alias("mask"))
         items, fates = table.filter("not known"), own if fates is None else fates.unionByName(own)
