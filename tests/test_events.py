@@ -195,6 +195,54 @@ def test_sinks_and_engine(spark, tmp_path, clean):
         Engine.connect(spark, f"{tmp_path}/nowhere")
 
 
+def test_written_once_is_as_run_in_memory(spark, tmp_path, clean):
+    bronze = C.corrupt(clean).cache()
+    silver, bad, manifest = S.run_pipeline(bronze)
+    written, put_aside, again = S.write_pipeline(bronze, f"{tmp_path}/silver", f"{tmp_path}/bad")
+    assert again.as_dict() == manifest.as_dict() and again.events_after_watermark
+    assert any("clients named" in n for n in again.notes) and "2024-01-" in again.notes[-1]
+    cols = [c for c in silver.columns if c != "lateness"]
+    assert written.select(cols).exceptAll(silver.select(cols)).count() == 0 and written.count() == silver.count() and put_aside.count() == bad.count()
+    bronze.unpersist()
+
+
+def test_a_range_of_days_reads_its_folders_alone(spark, tmp_path, clean):
+    silver = S.write_pipeline(C.corrupt(clean), f"{tmp_path}/silver", f"{tmp_path}/bad")[0]
+    spec = MetricSpec("sessions", ("event_date",), "2024-01-28", "2024-01-29")
+    frame = Engine(silver, LAYER).frame(spec)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    assert "event_day" in filters and ">= 2024-01-28" in filters and "<= 2024-01-29" in filters
+    rows = frame.collect()
+    assert len(rows) == 2 and rows == Engine(silver.drop("event_day"), LAYER).frame(spec).collect()
+
+
+def test_rows_without_ids_are_no_task_of_their_own(spark):
+    rows = events(spark, [{"event_id": None, "session_id": None, "visitor_id": None, "event_ts": at(i), "product_id": str(i)} for i in range(40)] + [{"session_id": None, "visitor_id": "v"}])
+    out = S.sessionize(S.classify_bots(rows)).collect()
+    assert len(out) == 41 and not any(r.is_suspected_bot for r in out) and [r.derived_session_id for r in out if r.derived_session_id] == [f"v:{int(T0.timestamp())}"]
+    parts = rows.select(S._own("session_id").alias("s")).distinct().count()
+    assert parts > 20
+
+
+def test_bots_take_one_shuffle(spark):
+    plan = S.classify_bots(events(spark, [{}]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_layer_with_the_least_that_it_needs(spark):
+    layer = {"metrics": {"n_rows": {"sql": "COUNT(*)", "conflicts_with": ["gone"]}, "Big": {"sql": "COUNT(*)", "label": "Big_Number of  rows"}}}
+    layer["metrics"]["big"] = layer["metrics"].pop("Big")
+    engine = Engine(events(spark, [{}, {}]), layer)
+    answer = engine.ask("N rows")
+    assert answer.value == 2 and answer.owner == "unowned" and answer.caveats == [] and answer.ambiguity_warning is None and "unowned" in answer.render()
+    assert resolve("big number of rows", layer)["resolved"] == "big" and lint(layer) == ["n_rows names gone but not the other way"]
+    assert compile_spec(MetricSpec("big"), layer).sql == "SELECT COUNT(*) AS value FROM silver_events LIMIT 500"
+    assert resolve("unique_visitors", LAYER)["resolved"] == "visitors"
+    with pytest.raises(SpecError):
+        engine.execute(MetricSpec("n_rows", ("device",)))
+
+
 def test_specifications():
     with pytest.raises(SpecError) as e:
         validate(MetricSpec("x", ("y",), "2024-02-02", "2024-02-01", {"z": "1"}, ("w",), 10**7), LAYER)

@@ -9,16 +9,28 @@ from datetime import date
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tidewater.sources import tables
 
 LAYER = Path(__file__).with_name("metrics.yaml")
+#: Fixed value: the largest limit of a specification.
 MAX_ROWS = 10_000
 
 
 def load_layer(path: str | Path = LAYER) -> dict:
-    return yaml.safe_load(Path(path).read_text())
+    """A layer's YAML, completed by `normalised`."""
+    return normalised(yaml.safe_load(Path(path).read_text()))
+
+
+def normalised(layer: dict) -> dict:
+    """The layer with every optional key: no dimensions or default filters, and metrics that are their own label, unowned and without caveats."""
+    metrics = {}
+    for key, m in (layer.get("metrics") or {}).items():
+        metrics[key] = {"label": key, "owner": "unowned", "grain": "unknown", "description": "", "caveats": [], "conflicts_with": []} | {k: v for k, v in m.items() if v is not None}
+    empty = {k: layer.get(k) or {} for k in ("dimensions", "default_filters")}
+    return {"source_table": "silver_events"} | layer | empty | {"metrics": metrics}
 
 
 @dataclass(frozen=True)
@@ -53,6 +65,7 @@ def _is_day(value: str) -> bool:
 
 def validate(spec: MetricSpec, layer: dict, max_days: int | None = None) -> None:
     """Raise one SpecError that names every problem."""
+    layer = normalised(layer)
     names = {k: sorted(layer[k]) for k in ("metrics", "dimensions", "default_filters")}
     allowed = lambda what: ", ".join(names[what])
     wrong = []
@@ -74,8 +87,13 @@ def validate(spec: MetricSpec, layer: dict, max_days: int | None = None) -> None
         raise SpecError("; ".join(wrong))
 
 
-def compile_spec(spec: MetricSpec, layer: dict, table: str | None = None) -> CompiledQuery:
-    """One flat SELECT; values are bound, never written into the text. Groups and order are by expression, every dimension, nulls last."""
+def compile_spec(spec: MetricSpec, layer: dict, table: str | None = None, day_column: str | None = None) -> CompiledQuery:
+    """One flat SELECT; values are bound, never written into the text. Groups and order are by expression, every dimension, nulls last.
+
+    day_column, the day of event_ts by which a table is laid out, is bounded
+    beside event_ts, so that days outside the range aren't read.
+    """
+    layer = normalised(layer)
     validate(spec, layer)
     slices = [(d, layer["dimensions"][d]["sql"]) for d in spec.dimensions]
     where = [f["sql"] for name, f in layer["default_filters"].items() if name not in spec.waive_default_filters]
@@ -83,9 +101,15 @@ def compile_spec(spec: MetricSpec, layer: dict, table: str | None = None) -> Com
     if spec.start_date:
         where.append("event_ts >= CAST(? AS TIMESTAMP)")
         args.append(spec.start_date)
+        if day_column:
+            where.append(f"{day_column} >= CAST(? AS DATE)")
+            args.append(spec.start_date)
     if spec.end_date:
         where.append("event_ts < CAST(? AS TIMESTAMP) + INTERVAL 1 DAY")
         args.append(spec.end_date)
+        if day_column:
+            where.append(f"{day_column} <= CAST(? AS DATE)")
+            args.append(spec.end_date)
     for name in sorted(spec.filters):
         where.append(f"{layer['dimensions'][name]['sql']} = ?")
         args.append(spec.filters[name])
@@ -97,29 +121,39 @@ def compile_spec(spec: MetricSpec, layer: dict, table: str | None = None) -> Com
     return CompiledQuery(" ".join([*parts, f"LIMIT {spec.limit}"]), tuple(args))
 
 
+def _folded(name: str) -> str:
+    return "_".join(name.strip().lower().replace("_", " ").split())
+
+
 def resolve(name: str, layer: dict) -> dict:
-    """{resolved, ambiguous, candidates, message}: the metric that a name means, and the others that it may mean."""
-    metrics = layer["metrics"]
-    key = "_".join(name.strip().lower().split())
+    """{resolved, ambiguous, candidates, message}: the metric that a name means, and the others that it may mean.
+
+    A name is a key, the beginning of one, or a label; case, spaces and
+    underscores don't matter. Conflicts with metrics that the layer lacks are
+    left out.
+    """
+    metrics = normalised(layer)["metrics"]
+    key = _folded(name)
     if not key:
         raise SpecError(f"a name is needed; there are: {', '.join(sorted(metrics))}")
     if key in metrics:
-        found = [key, *metrics[key].get("conflicts_with", [])]
+        found = [key, *(k for k in metrics[key]["conflicts_with"] if k in metrics)]
     else:
-        found = [k for k, m in metrics.items() if k.startswith(key) or m["label"].lower() == name.strip().lower()]
+        found = [k for k, m in metrics.items() if k.startswith(key) or _folded(m["label"]) == key]
     found = sorted(dict.fromkeys(found))
     if not found:
         raise SpecError(f"no metric is called {name!r}; there are: {', '.join(sorted(metrics))}")
     resolved = key if key in metrics else found[0]
-    out = {"resolved": resolved, "ambiguous": len(found) > 1, "candidates": [{"key": k} | {x: metrics[k].get(x) for x in ("label", "owner", "grain", "description")} for k in found]}
+    shown = ("label", "owner", "grain", "description")
+    out = {"resolved": resolved, "ambiguous": len(found) > 1, "candidates": [{"key": k} | {x: metrics[k][x] for x in shown} for k in found], "message": None}
     if out["ambiguous"]:
         out["message"] = f"{name!r} may mean " + " or ".join(f"{k} (owner: {metrics[k]['owner']})" for k in found) + f"; answered with {resolved}"
     return out
 
 
 def lint(layer: dict) -> list[str]:
-    """Conflicts that only one side declares."""
-    m = layer["metrics"]
+    """Conflicts that only one side declares, or with a metric that isn't there."""
+    m = normalised(layer)["metrics"]
     return [f"{a} names {b} but not the other way" for a in m for b in m[a].get("conflicts_with", []) if a not in m.get(b, {}).get("conflicts_with", [])]
 
 
@@ -131,6 +165,7 @@ def query_hash(spec: MetricSpec) -> str:
 
 def definition_hash(spec: MetricSpec, layer: dict) -> str:
     """Changes when the metric or anything it is compiled from does."""
+    layer = normalised(layer)
     return hashlib.sha256(json.dumps([layer["metrics"][spec.metric], layer["dimensions"], layer["default_filters"]], sort_keys=True).encode()).hexdigest()[:16]
 
 
@@ -175,31 +210,34 @@ class Engine:
     """Answers over one silver table. Rows come to the driver up to a specification's limit, MAX_ROWS at most."""
 
     def __init__(self, silver: DataFrame, layer: dict | None = None, manifest: dict | None = None, path: str | None = None):
-        self.silver, self.layer, self.manifest, self.path = silver, layer or load_layer(), manifest or {}, path
+        self.silver, self.layer, self.manifest, self.path = silver, normalised(layer or load_layer()), manifest or {}, path
 
     @classmethod
     def connect(cls, spark: SparkSession, silver_path: str, manifest_path: str | None = None, layer: dict | None = None) -> Engine:
         if tables.modified(spark, silver_path) is None:
             raise FileNotFoundError(silver_path)
         silver = spark.read.parquet(silver_path)
-        silver.createOrReplaceTempView((layer or load_layer())["source_table"])
+        silver.createOrReplaceTempView(normalised(layer or load_layer())["source_table"])
         return cls(silver, layer, tables.read_json(spark, manifest_path) if manifest_path else {}, silver_path)
 
+    def compiled(self, spec: MetricSpec, table: str | None = None) -> CompiledQuery:
+        return compile_spec(spec, self.layer, table, tables.DAY_COLUMN if tables.DAY_COLUMN in self.silver.columns else None)
+
     def frame(self, spec: MetricSpec) -> DataFrame:
         """The compiled query as a DataFrame."""
-        q = compile_spec(spec, self.layer, "{silver}")
+        q = self.compiled(spec, "{silver}")
         return self.silver.sparkSession.sql(q.sql, args=list(q.args) or None, silver=self.silver)
 
     def execute(self, spec: MetricSpec, ambiguity: str | None = None) -> MetricAnswer:
         rows = [r.asDict() for r in self.frame(spec).collect()]
         m = self.layer["metrics"][spec.metric]
         fresh = tables.modified(self.silver.sparkSession, self.path) if self.path else None
-        return MetricAnswer(spec.metric, m["label"], m["owner"], m["grain"], rows[0]["value"] if len(rows) == 1 else None, rows, " ".join(m["sql"].split()), compile_spec(spec, self.layer).sql, query_hash(spec), list(m["caveats"]), quality_context(self.manifest), fresh, ambiguity)
+        return MetricAnswer(spec.metric, m["label"], m["owner"], m["grain"], rows[0]["value"] if len(rows) == 1 else None, rows, " ".join(m["sql"].split()), self.compiled(spec).sql, query_hash(spec), list(m["caveats"]), quality_context(self.manifest), fresh, ambiguity)
 
     def ask(self, name: str, **kw) -> MetricAnswer:
         """Resolve a name, check, compile and run."""
         found = resolve(name, self.layer)
-        return self.execute(MetricSpec(found["resolved"], **kw), found.get("message"))
+        return self.execute(MetricSpec(found["resolved"], **kw), found["message"])
 
     def list_metrics(self) -> list[dict]:
         return [{"key": k, "label": m["label"], "owner": m["owner"]} for k, m in self.layer["metrics"].items()]
@@ -210,24 +248,33 @@ class Engine:
     def run_metric(self, spec: MetricSpec) -> MetricAnswer:
         return self.execute(spec)
 
-    def two_conversions(self) -> DataFrame:
-        """Both conversion rates by day, on the days that both have, without the first and the last."""
-        from pyspark.sql import functions as F
+    def _where(self, waived: tuple[str, ...] = ()) -> str:
+        return " AND ".join([f["sql"] for name, f in self.layer["default_filters"].items() if name not in waived] or ["true"])
 
-        a, b = (self.frame(MetricSpec(f"conversion_rate_{x}", ("event_date",), limit=MAX_ROWS)).withColumnRenamed("value", f"by_{x}") for x in ("sessions", "visitors"))
-        both = a.join(b, "event_date").filter("event_date is not null")
-        ends = both.agg(F.min("event_date").alias("lo"), F.max("event_date").alias("hi"))
-        return both.crossJoin(F.broadcast(ends)).filter("event_date > lo and event_date < hi").drop("lo", "hi")  # one row
+    def two_conversions(self) -> DataFrame:
+        """Both conversion rates by day, without the first and the last day. One query over the silver table."""
+        day, metrics = self.layer["dimensions"]["event_date"]["sql"], self.layer["metrics"]
+        rates = ", ".join(f"{metrics[f'conversion_rate_{x}']['sql']} AS by_{x}" for x in ("sessions", "visitors"))
+        sql = f"SELECT {day} AS event_date, {rates} FROM {{silver}} WHERE {self._where()} AND event_ts IS NOT NULL GROUP BY {day}"
+        days = self.silver.sparkSession.sql(sql, silver=self.silver)
+        every = Window.partitionBy(F.lit(1))  # a row for each day
+        return days.withColumns({"lo": F.min("event_date").over(every), "hi": F.max("event_date").over(every)}).filter("event_date > lo and event_date < hi").drop("lo", "hi")
 
     def conversion_gap(self) -> float | None:
         """How much higher the rate by visitor is than by session, over everything."""
         s, v = (self.execute(MetricSpec(f"conversion_rate_{x}")).value for x in ("sessions", "visitors"))
         return v / s - 1 if s else None
 
-    def filter_waterfall(self) -> DataFrame:
-        """Pageviews with no default filter, then bots left out, then late rows too."""
-        from pyspark.sql import functions as F
-
-        steps = [("raw", ("exclude_bots", "closed_days_only")), ("without_bots", ("closed_days_only",)), ("default", ())]
-        frames = [self.frame(MetricSpec("pageviews", waive_default_filters=w)).select(F.lit(i).alias("step"), F.lit(n).alias("name"), "value") for i, (n, w) in enumerate(steps)]
-        return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    def filter_waterfall(self, metric: str = "pageviews") -> DataFrame:
+        """An additive metric with no default filter, then with one more of them at each step. One query over the silver table."""
+        filters, sql = list(self.layer["default_filters"]), self.layer["metrics"][metric]["sql"]
+        flags = ", ".join(f"coalesce({self.layer['default_filters'][f]['sql']}, false) AS f{i}" for i, f in enumerate(filters))
+        kept = ", ".join(f"f{i}" for i in range(len(filters)))
+        cells = self.silver.sparkSession.sql(f"SELECT {kept}, {sql} AS value FROM (SELECT *, {flags} FROM {{silver}}) GROUP BY {kept}", silver=self.silver)
+        names = ["raw", *(f"without_{f.removeprefix('exclude_')}" for f in filters[:-1]), "default"]
+        passes = [F.lit(True)]
+        for i in range(len(filters)):
+            passes.append(passes[-1] & F.col(f"f{i}"))
+        sums = cells.agg(*(F.coalesce(F.sum(F.when(p, F.col("value"))), F.lit(0)).alias(f"v{i}") for i, p in enumerate(passes)))
+        steps = [F.struct(F.lit(i).alias("step"), F.lit(n).alias("name"), F.col(f"v{i}").alias("value")) for i, n in enumerate(names)]
+        return sums.select(F.explode(F.array(*steps)).alias("x")).select("x.*")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewater import schemas
 
+#: The day of event_ts by which silver is laid out.
+DAY_COLUMN = "event_day"
 #: Sessions, devices, clocks and faults derived from an events table by integer arithmetic; runs in Spark and DuckDB as it stands.
 BRONZE_SQL = """
 e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type, value FROM {events}),
@@ -56,12 +58,15 @@ def read_bronze(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_bronze(df: DataFrame, path: str) -> None:
-    df.orderBy("ingested_at").write.mode("overwrite").parquet(path)
+    """Rows in ranges of their arrival, so that a reader can skip files by it; no order over all of them."""
+    df.repartitionByRange("ingested_at").sortWithinPartitions("ingested_at").write.mode("overwrite").parquet(path)
 
 
 def write_silver(df: DataFrame, path: str) -> None:
-    """Silver by day, so that a range of days reads its folders alone."""
-    df.withColumn("event_day", F.to_date("event_date")).write.mode("overwrite").partitionBy("event_day").parquet(path)
+    """Silver by day; the semantic layer filters event_day beside event_ts, so a range of days reads its folders alone."""
+    days = df.withColumn(DAY_COLUMN, F.to_date("event_date"))
+    # a day's rows meet in few tasks, else every task writes a file for every day; large days are split
+    days.hint("rebalance", DAY_COLUMN).write.mode("overwrite").partitionBy(DAY_COLUMN).parquet(path)
 
 
 def write_quarantine(df: DataFrame, path: str) -> None:
