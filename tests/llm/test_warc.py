@@ -49,3 +49,10 @@ def test_damage_is_found():
 
 def test_empty(spark):
     assert warc.warc_round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(i, "u", LONG, "d", 3, "x", "y", b"p") for i in (4, 2, 4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, first long, rid string, path string, payload binary")
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.warc_round_trip(spark, pages).collect())
+    assert got == [(2, "response", None), (4, "revisit", 2), (4, "revisit", 2)]

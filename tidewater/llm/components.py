@@ -10,14 +10,16 @@ from tidewater.llm import _common as C
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # a table of its own, so that the join with the edges of a large component's root can be split
+    least = C.cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "cc-least")
     return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b")
-    return moved.select(F.explode(F.array(F.struct(F.col("m").alias("x"), F.col("a").alias("y")), F.struct(F.col("m").alias("x"), F.col("b").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).filter("a < b").distinct()
+    least = C.cut(edges.groupBy("b").agg(F.min("a").alias("m")), "cc-least")
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    moved = edges.join(least, "b").select(F.explode(F.array(pair("m", "a"), pair("m", "b"))).alias("e"))
+    return moved.select("e.a", "e.b").filter("a < b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

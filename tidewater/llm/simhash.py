@@ -57,7 +57,49 @@ def hex_of(fp: Column) -> Column:
 
 def _wild(value: Column, bits: int) -> Column:
     """An array of (left-out bit, value without it) for every bit."""
-    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda j: F.struct(j.alias("j"), value.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), j))).alias("rest")))
+
+    def without(j: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), j)
+        return F.struct(j.alias("j"), value.bitwiseAND(F.bitwise_not(bit)).alias("rest"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), without)
+
+
+def _near() -> Column:
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
+
+
+def _halved(side: DataFrame, bits: int) -> DataFrame:
+    """A row for each one-wildcard variant k of both halves of the column free (bits wide), with the other half as free."""
+    half = bits // 2
+    cuts = (F.shiftrightunsigned("free", half), F.col("free").bitwiseAND((1 << half) - 1))
+
+    def variants(s: int) -> Column:
+        return F.transform(_wild(cuts[s], half), lambda w: F.struct(F.struct(F.lit(s).alias("s"), w["j"].alias("j"), w["rest"].alias("rest")).alias("k"), cuts[1 - s].alias("free")))
+
+    rest = [c for c in side.columns if c != "free"]
+    return side.select(*rest, F.explode(F.concat(variants(0), variants(1))).alias("v")).select(*rest, "v.k", "v.free")
+
+
+def _compared(x: DataFrame, y: DataFrame, keys: list[str], bits: int, crowded: int) -> DataFrame:
+    """Pairs (a, b) at most MAX_BITS apart of x (keys, a, free) and y (keys, b, free), whose other bits differ by one at most.
+
+    Free bits are halved and met by one-wildcard variants; buckets of more than
+    `crowded` are halved again, down to 8 free bits, where a bucket has at most
+    2**10 of each side: the 8 bits, and the one left out of each of two cuts.
+    """
+    level = f"k{bits}"
+    x, y = (_halved(side, bits).withColumnRenamed("k", level) for side in (x, y))
+    keys = [*keys, level]
+    pairs = lambda p, q: p.drop("free").join(q.drop("free"), keys).filter(_near()).select("a", "b").distinct()
+    if bits <= 16:
+        return pairs(x, y)
+    x, y = C.cut(x, "simhash-side"), C.cut(y, "simhash-side")
+    many = C.cut(x.select(*keys).unionByName(y.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * crowded).drop("n"), "simhash-crowded")
+    if not many.limit(1).count():
+        return pairs(x, y)
+    few = pairs(x.join(many, keys, "left_anti"), y.join(many, keys, "left_anti"))
+    return few.unionByName(_compared(x.join(many, keys, "left_semi"), y.join(many, keys, "left_semi"), keys, bits // 2, crowded))
 
 
 def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -67,37 +109,38 @@ def links(fps: DataFrame, crowded: int = CROWDED) -> DataFrame:
     variant index stays linear in the fingerprints. Fingerprints that share a
     segment value (or have neighbouring ones) are compared; where a value has
     more than `crowded` of them, the other half is cut and indexed the same
-    way, so no crowded group is ever paired with itself.
+    way, again and again (`_compared`), so no crowded group is ever paired
+    with itself.
     """
     low = F.lit(0xFFFFFFFF)
-    halves = F.array(F.struct(F.lit(0).alias("seg"), F.shiftrightunsigned("fp", 32).alias("half"), F.col("fp").bitwiseAND(low).alias("other")), F.struct(F.lit(1).alias("seg"), F.col("fp").bitwiseAND(low).alias("half"), F.shiftrightunsigned("fp", 32).alias("other")))
+    upper, lower = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(low)
+    halves = F.array(*(F.struct(F.lit(i).alias("seg"), h.alias("half"), o.alias("other")) for i, (h, o) in enumerate(((upper, lower), (lower, upper)))))
     member = C.cut(fps.select("fp", F.explode(halves).alias("x")).select("fp", "x.*"), "simhash-members")
-    values = member.groupBy("seg", "half").agg(F.count(F.lit(1)).alias("n"))
-    values = C.cut(values, "simhash-values")
+    # a small table, but 32 rows come of each of its rows: dealt out before that
+    values = C.cut(member.groupBy("seg", "half").agg(F.count(F.lit(1)).alias("n")), "simhash-values")
+    dealt = values.repartition(C.parts_of(fps.sparkSession), "seg", "half")
     # one-wildcard variants: a bucket holds the value with the bit and the one without it
     one_bit = (
-        values.select("seg", "half", F.explode(_wild(F.col("half"), 32)).alias("v"))
+        dealt.select("seg", "half", F.explode(_wild(F.col("half"), 32)).alias("v"))
         .groupBy("seg", "v.j", "v.rest")
         .agg(F.min("half").alias("a_half"), F.max("half").alias("b_half"))
         .filter("a_half < b_half")
         .select("seg", "a_half", "b_half")
     )
-    groups = values.select("seg", F.col("half").alias("a_half"), F.col("half").alias("b_half"), F.col("n").alias("na"), F.col("n").alias("nb")).filter("n > 1").unionByName(
-        one_bit.join(values.select("seg", F.col("half").alias("a_half"), F.col("n").alias("na")), ["seg", "a_half"]).join(values.select("seg", F.col("half").alias("b_half"), F.col("n").alias("nb")), ["seg", "b_half"])
-    )
+    sized = lambda side: values.select("seg", F.col("half").alias(f"{side}_half"), F.col("n").alias(f"n{side}"))
+    own = values.filter("n > 1").select("seg", F.col("half").alias("a_half"), F.col("half").alias("b_half"), F.col("n").alias("na"), F.col("n").alias("nb"))
+    groups = own.unionByName(one_bit.join(sized("a"), ["seg", "a_half"]).join(sized("b"), ["seg", "b_half"]))
     groups = C.cut(groups, "simhash-groups")
-    left = member.select("seg", F.col("half").alias("a_half"), F.col("fp").alias("a"), F.col("other").alias("ao"))
-    right = member.select("seg", F.col("half").alias("b_half"), F.col("fp").alias("b"), F.col("other").alias("bo"))
-    near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS) & ((F.col("a_half") != F.col("b_half")) | (F.col("a") < F.col("b")))
+    left = member.select("seg", F.col("half").alias("a_half"), F.col("fp").alias("a"), F.col("other").alias("free"))
+    right = member.select("seg", F.col("half").alias("b_half"), F.col("fp").alias("b"), F.col("other").alias("free"))
     is_crowded = F.greatest("na", "nb") > crowded
-    found = groups.filter(~is_crowded).join(left, ["seg", "a_half"]).join(right, ["seg", "b_half"]).filter(near).select("a", "b")
+    few = groups.filter(~is_crowded)
+    found = few.join(left.drop("free"), ["seg", "a_half"]).join(right.drop("free"), ["seg", "b_half"]).filter(_near()).select("a", "b")
     if groups.filter(is_crowded).limit(1).count():
-        many = groups.filter(is_crowded)
-        sub = lambda c: F.flatten(F.array(*[F.transform(_wild(v, 16), lambda w, s=s: F.struct(F.lit(s).alias("s"), w["j"].alias("j"), w["rest"].alias("rest"))) for s, v in enumerate((F.shiftrightunsigned(c, 16), F.col(c).bitwiseAND(F.lit(0xFFFF))))]))
-        x = many.join(left, ["seg", "a_half"]).select("seg", "a_half", "b_half", "a", F.explode(sub("ao")).alias("k"))
-        y = many.join(right, ["seg", "b_half"]).select("seg", "a_half", "b_half", "b", F.explode(sub("bo")).alias("k"))
-        found = found.unionByName(x.join(y, ["seg", "a_half", "b_half", "k"]).filter(near).select("a", "b"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        many, keys = groups.filter(is_crowded).drop("na", "nb"), ["seg", "a_half", "b_half"]
+        x, y = many.join(left, ["seg", "a_half"]).select(*keys, "a", "free"), many.join(right, ["seg", "b_half"]).select(*keys, "b", "free")
+        found = found.unionByName(_compared(x, y, keys, 32, crowded))
+    return found.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -72,22 +73,27 @@ def decode_record(raw: bytes) -> dict:
 
 
 def _writer(folder: str):
+    """Writes rows to archives. An archive's name is the attempt's own, and the manifest that Spark commits has one attempt's archives only."""
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, top = C.open_fs(folder)
-        part, made, held, size, n = TaskContext.get().partitionId(), 0, [], 0, 0
+        part, attempt, made = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0
+        held, size = [], 0
+
+        def flush() -> pd.DataFrame:
+            name = f"part-{part:06d}-{made:05d}-{attempt}.warc.gz"
+            C.put(fs, f"{top}/{name}", b"".join(held))
+            return pd.DataFrame({"path": [f"{folder}/{name}"], "records": [len(held)]})
+
         for pdf in batches:
             for i, url, html, digest, to in zip(pdf["rid"], pdf["url"], pdf["html"], pdf["digest"], pdf["refers_to"]):
                 held.append(encode_record(i, url, html.encode(), digest, to))
-                size, n = size + len(held[-1]), n + 1
+                size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
-                    name = f"part-{part:06d}-{made:05d}.warc.gz"
-                    C.put(fs, f"{top}/{name}", b"".join(held))
-                    yield pd.DataFrame({"path": [f"{folder}/{name}"], "records": [n]})
-                    made, held, size, n = made + 1, [], 0, 0
+                    yield flush()
+                    made, held, size = made + 1, [], 0
         if held:
-            name = f"part-{part:06d}-{made:05d}.warc.gz"
-            C.put(fs, f"{top}/{name}", b"".join(held))
-            yield pd.DataFrame({"path": [f"{folder}/{name}"], "records": [n]})
+            yield flush()
 
     return write
 
@@ -119,12 +125,15 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     another. An empty table writes no archive. Other columns are not read.
     """
     spark = pages.sparkSession
+    C.small_batches(spark)
     folder = folder or C.new_path(spark, "warc")
     base = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("num"), F.col(url_col).alias("url"), F.coalesce(F.col(text_col), F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     shared = base.filter(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("num").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c, F.lit("none")))
     # the left side's hot digests are split by the skew join of adaptive execution
-    full = base.join(shared, "digest", "left").select(urn(F.col("id")).alias("rid"), "url", "html", "digest", F.when(F.col("first").isNotNull() & ~F.col("num").eqNullSafe(F.col("first")), urn(F.col("first").cast("string"))).alias("refers_to"))
+    revisit = F.col("first").isNotNull() & ~F.col("num").eqNullSafe(F.col("first"))
+    full = base.join(shared, "digest", "left").select(urn(F.col("id")).alias("rid"), "num", "url", "html", "digest", F.when(revisit, urn(F.col("first").cast("string"))).alias("refers_to"))
+    full = full.sortWithinPartitions("digest", "num").drop("num")  # records don't follow the order in which blocks were fetched
     return C.cut(full.mapInPandas(_writer(folder), "path string, records long"), "warc-manifest")
 
 
