@@ -34,6 +34,29 @@ def test_chain_marginals_against_all_paths():
         assert np.allclose(1 / (1 + np.exp(-(x + y))), mass[:, 1] / mass.sum(1) if len(s) else [])
 
 
+def test_no_tag_against_all_paths_and_gradient():
+    texts = ["Good day to all", "you Foul thing you foul", "a day", "foul FOUL", "thing of the day good", "all foul day"]
+    sample = crf.Sample(texts * 3, [0, 1, 0, 1, 0, 1] * 3)
+    rng = np.random.default_rng(2)
+    params = rng.normal(0, 0.7, len(sample.names) + 6)
+    weight = rng.uniform(0.5, 2, len(sample.labels))
+    _, grad = sample.likelihood(params, weight, crf.Model())
+    for i in rng.choice(len(params), 12, replace=False).tolist() + list(range(len(params) - 6, len(params))):
+        up, down = params.copy(), params.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        slope = (sample.likelihood(up, weight, crf.Model())[0] - sample.likelihood(down, weight, crf.Model())[0]) / 2e-5
+        assert abs(slope - grad[i]) < 1e-4 * max(1, abs(slope)), i
+    model = crf.Model()
+    model.bias, model.start, model.trans = -0.4, 0.3, np.array([[0.2, -0.6], [0.5, 0.9]])
+    model.weights = {"w=foul": 1.5, "before=you": 0.7, "after=thing": -0.4, "h=mixed": 0.2, "p4=thin": 0.3}
+    for t, (_, clean) in zip(texts, crf.tagged(model, texts)):
+        (s,) = crf.Emissions(model).of([t.split()])
+        mass = [sum(v * k for v, k in zip(s, path)) + model.start * path[0] + sum(model.trans[p, q] for p, q in zip(path, path[1:])) for path in itertools.product((0, 1), repeat=len(s))]
+        assert np.isclose(clean, mass[0] - np.logaddexp.reduce(mass))
+    assert crf.tagged(model, ["", None])[0][1] == 0.0
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     rows = crf.toxicity(docs, labels).collect()

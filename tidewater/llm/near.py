@@ -21,6 +21,8 @@ from tidewater.llm import simhash
 from tidewater.llm.components import components
 
 SEED, SHINGLE, SIMILARITY, BANDS, ROWS = 42, 5, 0.8, 30, 5
+#: Below this share of equal minimum hashes a pair isn't compared; one at 0.8 is five standard deviations above.
+LIKELY = 0.636
 _CHUNK = 256
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -37,15 +39,16 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts[:last].tolist(), ends[:last].tolist())], np.uint64))
 
 
-def band_keys(text: str | None) -> list[int]:
-    """One key for each band, of ROWS minimum hashes; no words: no keys."""
+def sketch(text: str | None) -> tuple[int, list[int], bytes]:
+    """(number of shingles, a key for each band of ROWS minimum hashes, a byte of each minimum hash); no words: 0, no keys, no bytes."""
     own = shingles(text)
     if not len(own):
-        return []
+        return 0, [], b""
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(own), _CHUNK):
         least = np.minimum(least, (own[k : k + _CHUNK, None] * _FACTORS).min(axis=0))
-    return [xxhash.xxh64_intdigest(b.tobytes(), SEED) - (1 << 63) for b in least.reshape(BANDS, ROWS)]
+    keys = [xxhash.xxh64_intdigest(b.tobytes(), SEED) - (1 << 63) for b in least.reshape(BANDS, ROWS)]
+    return len(own), keys, least.astype(np.uint8).tobytes()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -53,9 +56,19 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _bands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        yield pd.Series([band_keys(t) for t in texts])
+        yield pd.DataFrame([sketch(t) for t in texts], columns=["size", "keys", "least"])
+
+
+_sketches.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+
+
+def _likely(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Whether the share of equal minimum hashes is above LIKELY."""
+    n = BANDS * ROWS
+    x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, n) for v in (left, right))
+    return pd.Series((x == y).sum(axis=1) > LIKELY * n)
 
 
 def _similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -73,38 +86,60 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
-    pairs = C.cut(pairs.distinct(), "near-candidates")
+def _checked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar: first by their sketches, the likely ones by their whole shingle sets."""
+    spark = pairs.sparkSession
+    start = C.mark()
+    side = lambda of, side, col: of.select(F.col("node").alias(side), F.col(col).alias(f"{col}_{side}"))
+    likely = F.pandas_udf(_likely, T.BooleanType())("least_a", "least_b")
+    both = pairs.distinct().join(side(sketches, "a", "least"), "a").join(side(sketches, "b", "least"), "b")
+    pairs = C.cut(both.filter(likely).select("a", "b"), "near-candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     own = C.cut(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return C.cut(both.filter(F.pandas_udf(_similar, T.BooleanType())("ta", "tb")).select("a", "b"), "near-pairs")
+    C.free_shuffles(spark)
+    both = pairs.join(side(own, "a", "text"), "a").join(side(own, "b", "text"), "b")
+    used = C.since(start)
+    found = C.cut(both.filter(F.pandas_udf(_similar, T.BooleanType())("text_a", "text_b")).select("a", "b"), "near-pairs")
+    C.release(spark, used)
+    C.free_shuffles(spark)
+    return found
 
 
 def near_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Links (a, b), a < b, of text keys that join all similar texts; not every pair of a component has a link of its own.
 
-    The members of a bucket are first compared with its smallest. Those that
-    end in another component than the smallest are then compared with every
-    member of the bucket that isn't in theirs, so that a group of near copies
-    costs about its size and none of its pairs is left out unless both are
-    linked already.
+    The members of a bucket are first compared with its most central one, which
+    shares buckets with most texts: of a text and its edited copies that is the
+    text, the same in all their buckets, so a group of near copies costs about
+    its size. Those that end in another component are then compared with every
+    member of the bucket that isn't in theirs, so that none of its pairs is
+    left out unless both are linked already. Pairs whose numbers of shingles
+    can't give the similarity are never made.
     """
     C.small_batches(docs.sparkSession)
     texts = docs.select(text_key(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
-    keys = C.cut(texts.select("node", F.pandas_udf(_bands, T.ArrayType(T.LongType()))("text").alias("keys")), "near-keys")
-    member = keys.select("node", F.posexplode("keys").alias("band", "key")).distinct()
-    buckets = C.cut(member.groupBy("band", "key").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-buckets")
+    kind = "size int, keys array<long>, least binary"
+    sketches = C.cut(texts.dropDuplicates(["node"]).select("node", F.pandas_udf(_sketches, kind)("text").alias("x")).select("node", "x.*"), "near-sketches")
+    C.free_shuffles(docs.sparkSession)
+    member = sketches.select("node", "size", F.posexplode("keys").alias("band", "key"))
+    buckets = C.cut(member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-buckets")
     member = C.cut(member.join(buckets, ["band", "key"]), "near-members")
-    found = _checked(member.filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b")), texts)
+    central = C.cut(member.groupBy("node").agg(F.sum("n").alias("central")), "near-central")
+    best = F.max(F.struct("central", "node", "size")).alias("best")
+    reps = C.cut(member.join(central, "node").groupBy("band", "key").agg(best).select("band", "key", F.col("best.node").alias("rep"), F.col("best.size").alias("rep_size")), "near-reps")
+    member = C.cut(member.join(reps, ["band", "key"]), "near-members")
+    C.free_shuffles(docs.sparkSession)
+    fits = lambda x, y: F.least(x, y) >= SIMILARITY * F.greatest(x, y)
+    first = member.filter(F.col("node") != F.col("rep")).filter(fits("size", "rep_size")).select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b"))
+    found = _checked(first, sketches, texts)
     roots = components(found)
-    named = member.filter("n > 2").join(roots, "node", "left").select("band", "key", "node", "rep", F.coalesce("root", "node").alias("root"))
-    named = C.cut(named.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("rep_root")), "rep", "left").withColumn("apart", F.col("root") != F.coalesce("rep_root", "rep")), "near-named")
-    x = named.filter("apart").select("band", "key", F.col("node").alias("x"), F.col("root").alias("xr"))
-    y = named.filter("node != rep").select("band", "key", F.col("node").alias("y"), F.col("root").alias("yr"))
-    rest = x.join(y, ["band", "key"]).filter("xr != yr").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return found.unionByName(_checked(rest, texts))
+    named = member.filter("n > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(roots.select(F.col("node").alias("rep"), F.col("root").alias("rep_root")), "rep", "left")
+    named = C.cut(named.withColumn("apart", F.col("root") != F.coalesce("rep_root", "rep")), "near-named")
+    side = lambda rows, x: rows.select("band", "key", F.col("node").alias(x), F.col("root").alias(f"{x}r"), F.col("size").alias(f"{x}s"))
+    x, y = side(named.filter("apart"), "x"), side(named.filter("node != rep"), "y")
+    rest = x.join(y, (x.band == y.band) & (x.key == y.key) & (F.col("xr") != F.col("yr")) & fits("xs", "ys"))
+    return found.unionByName(_checked(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), sketches, texts))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
