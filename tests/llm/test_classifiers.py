@@ -75,10 +75,40 @@ def test_quality_on_held_out_rows(spark):
     assert all(abs(sum(r.attention) - 1) < 1e-3 and len(r.attention) == r.passages for r in rows)
 
 
-def test_attention_gradient():
+def test_attention_gradient_against_differences():
+    rng = np.random.default_rng(4)
+    model = quality.Model(3)
+    bags = [quality.encode("".join(rng.choice(list("ab é!|"), n))).astype(float) for n in (0, 5, 700, 1900, 3000)]
+    assert [len(b) for b in bags] == [1, 1, 2, 4, 5]
+    x, starts, of = quality._joined(bags)
+    y, weight = np.array([0, 1, 1, 0, 1.0]), rng.uniform(0.5, 1.5, 5)
+
+    def loss():
+        s = model.forward(x, starts, of)["score"]
+        return -(weight * np.where(y == 1, np.log(s), np.log(1 - s))).sum()
+
+    grad = model.gradient(x, starts, of, y, weight)
+    used = np.flatnonzero(x[:, :-1].sum(0))
+    for name, g in grad.items():
+        p = model.p[name]
+        for _ in range(6):
+            at = tuple(rng.choice(used) if name == "W" and d == 0 else rng.integers(n) for d, n in enumerate(p.shape))
+            keep = p[at]
+            p[at] = keep + 1e-5
+            up = loss()
+            p[at] = keep - 1e-5
+            slope = (up - loss()) / 2e-5
+            p[at] = keep
+            assert abs(slope - g[at]) < 1e-6 + 1e-4 * abs(slope), (name, at)
+
+
+def test_passages_cover_the_text():
+    for text in ("", None, "é" * 1300, "x" * 600, "x" * 601, "日本" * 5000 + "a", "w " * 600_000):
+        x = quality.encode(text)
+        assert len(x) == max(1, -(-len(text or "") // quality.PASSAGE))
+        assert np.allclose((x[:, :-1] ** 2).sum(1), 1 if text else 0, atol=1e-3) and (x[:, -1] < 1).all()
     texts, labels = ["GOOD " * 300, "bad!! " * 300, "fine text " * 200, "!!" * 900], [1, 0, 1, 0]
-    model = quality.train(texts, labels, rounds=200)
-    score, attention = model.score([quality.encode(quality.passages(t)) for t in texts])
+    score, _ = quality.train(texts, labels, rounds=200).score([quality.encode(t) for t in texts])
     assert ((score > 0.5) == np.array(labels)).all()
 
 
