@@ -1,7 +1,7 @@
 import numpy as np
 
 from tests.llm.frames import awkward, empty
-from tidewater.llm import mixing
+from tidewater.llm import mixing, queries
 
 
 def test_raking_reaches_the_marginals():
@@ -58,6 +58,39 @@ def test_a_target_out_of_reach_is_stated_and_the_others_share_the_rest(spark, ca
     assert "source rare 0.2000 -> 0.0250" in caplog.text and "up to keep 0.100" in caplog.text
 
 
+def test_query_reaches_its_targets_and_states_them(spark):
+    rows = queries.op5_mixing(spark, "/root/testdata/sf0.1").collect()
+    tokens = sum(r.tokens for r in rows)
+    for axis in mixing.AXES:
+        have, kept, sure = {}, {}, {}
+        for r in rows:
+            v = r[axis]
+            have[v] = have.get(v, 0) + r.tokens
+            sure[v] = sure.get(v, 0) + r.tokens * r.probability
+            kept[v] = kept.get(v, 0) + r.tokens * r.kept
+        for r in rows:
+            v = r[axis]
+            assert abs(r[f"{axis}_present"] - have[v] / tokens) < 1e-9 and abs(r[f"{axis}_reached"] - sure[v] / sum(sure.values())) < 1e-9
+            assert abs(r[f"{axis}_reached"] - r[f"{axis}_target"]) < 0.005, (axis, v, r[f"{axis}_target"], r[f"{axis}_reached"])
+        wanted = mixing.TARGETS.get(axis) or {v: n**mixing.ALPHA / sum(x**mixing.ALPHA for x in have.values()) for v, n in have.items()}
+        assert all(abs(kept[v] / sum(kept.values()) - wanted[v]) < 0.02 for v in have)
+    assert abs(sum(r.tokens * r.probability for r in rows) / tokens - mixing.KEEP) < 1e-3 and abs(sum(r.kept * r.tokens for r in rows) / tokens - mixing.KEEP) < 0.02
+
+
+def test_topics(spark):
+    texts = ["All Rights Reserved, LICENSE", "call a@b or phone", "a | b", "plain", None, "license a@b"]
+    got = {r.doc_id: r._topic for r in mixing.mixed(awkward(spark, texts)).collect()}
+    assert [got[i] for i in range(6)] == ["legal", "contact", "listing", "general", "general", "legal"]
+
+
+def test_clashing_columns_are_replaced(spark):
+    names = ["_weight", "_probability", "_tokens", "_topic", "_kept", "_draw", "doc", "t", "_source_target"]
+    docs = spark.createDataFrame([(i, f"a b {i}", *["x"] * len(names)) for i in range(20)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = mixing.mixed(docs)
+    assert len(set(out.columns)) == len(out.columns) and out.count() == 20
+    assert {(r._tokens, r._topic, r._draw, r.doc, r.t) for r in out.collect()} == {(3, "general", "x", "x", "x")}
+
+
 def test_awkward_rows(spark):
     rows = mixing.mixed(awkward(spark, ["", None, "a b", "a b", "x" * 200_000])).collect()
     assert len(rows) == 6 and all(0 <= r["_probability"] <= 1 and r["_kept"] is not None for r in rows)

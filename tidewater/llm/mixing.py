@@ -5,13 +5,28 @@ from __future__ import annotations
 import logging
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm import _common as C
+
 ALPHA, KEEP, SEED, MAX_CELLS = 0.7, 0.8, 17, 1_000_000
 #: Cells are broadcast up to so many bytes of their names, else joined by shuffle.
 BROADCAST_BYTES = 4 << 20
 AXES = ("source", "lang", "topic")
+#: Cues of topics, in lower case; a text without any is GENERAL.
+TOPICS = {
+    "legal": ("license", "licence", "copyright", "rights reserved"),
+    "contact": ("@", "phone", "e-mail"),
+    "code": ("token =", "import ", "{", "();"),
+    "listing": (" | ",),
+}
+GENERAL = "general"
+#: What the registered query and the pipeline aim at, as shares of the kept tokens; sources are tempered by ALPHA.
+TARGETS = {
+    "lang": {"en": 0.54, "de": 0.18, "fr": 0.17, "es": 0.11},
+    "topic": {"general": 0.92, "legal": 0.04, "contact": 0.02, "code": 0.01, "listing": 0.01},
+}
 #: Targets out of reach that are logged one by one.
 TOLD = 20
 log = logging.getLogger(__name__)
@@ -88,58 +103,98 @@ def largest_keep(tokens: np.ndarray, index: list[np.ndarray], shares: list[np.nd
     return min([1.0, *(float(m.min()) / tokens.sum() for m in most if len(m))])
 
 
-def with_axes(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _tokens (words), _source, _lang and _topic.
+def topic_of(text: Column, topics: dict[str, tuple[str, ...]]) -> Column:
+    """The topic with the most different cues in the lower-cased text, the first of equals; GENERAL where there is none."""
+    low = F.lower(text)
+    found = {name: sum((F.contains(low, F.lit(cue)).cast("int") for cue in cues), F.lit(0)) for name, cues in topics.items()}
+    most = F.greatest(*found.values(), F.lit(0))
+    out = F.when(most == 0, F.lit(GENERAL))
+    for name, n in found.items():
+        out = out.when(n == most, F.lit(name))
+    return out.otherwise(F.lit(GENERAL))
 
-    Topic is the column topic where there is one, else a lexical band of the
-    whole text: letters per word, from 3 or fewer to 8 or more.
-    """
+
+def with_axes(docs: DataFrame, id_col: str, text_col: str, topics: dict[str, tuple[str, ...]], seed: int) -> DataFrame:
+    """doc (all columns), _tokens (words), _draw (a number in [0, 1) by id, text and seed), _source, _lang and _topic."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    letters = F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))
-    band = F.concat(F.lit("band"), F.least(F.lit(8), F.greatest(F.lit(3), F.floor(letters / F.greatest(words, F.lit(1))))).cast("string"))
-    topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else band
-    return docs.withColumns({"_tokens": words.cast("long"), "_source": F.coalesce(F.col("source"), F.lit("")), "_lang": F.coalesce(F.col("lang"), F.lit("")), "_topic": topic})
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"),
+        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("_tokens"),
+        draw.alias("_draw"),
+        given("source").alias("_source"),
+        given("lang").alias("_lang"),
+        (given("topic") if "topic" in docs.columns else topic_of(text, topics)).alias("_topic"),
+    )
+
+
+def calibrated(found: list, targets: dict[str, dict[str, float]], alpha: float, keep: float) -> list[tuple]:
+    """Of each cell (source, lang, topic, tokens): its names, weight, probability, and by axis the present, target and reached shares."""
+    names = [f"_{a}" for a in AXES]
+    tokens = np.array([r["t"] or 0 for r in found], float)
+    values, index, present, shares = [], [], [], []
+    for axis, name in zip(AXES, names):
+        own, at = np.unique([r[name] for r in found], return_inverse=True)
+        have = np.bincount(at, tokens, len(own))
+        want = np.array([targets[axis].get(v, 0.0) for v in own]) if axis in targets else have**alpha
+        want = np.where(have > 0, want, 0.0)
+        values.append(own)
+        index.append(at)
+        present.append(have / have.sum() if have.sum() else have)
+        shares.append(want / want.sum() if want.sum() else want)
+    if not tokens.sum():
+        return [(*(r[n] for n in names), 1.0, keep, *[0.0] * 9) for r in found]
+    mass = raked(tokens, index, shares)
+    weight = np.divide(mass, tokens, out=np.ones_like(mass), where=tokens > 0)
+    chance = chances(tokens, weight, index, shares, keep)
+    if missed := shortfall(tokens, chance, index, shares):
+        told = ", ".join(f"{AXES[a]} {values[a][v]} {want:.4f} -> {got:.4f}" for a, v, want, got in missed[:TOLD])
+        log.warning("keep %g: %d targets are out of reach (all have the tokens up to keep %.3f); target -> reached, farthest first: %s", keep, len(missed), largest_keep(tokens, index, shares), told)
+    kept = tokens * chance
+    reached = [np.bincount(at, kept, len(share)) / max(kept.sum(), 1e-300) for at, share in zip(index, shares)]
+    columns = [x[at] for x, at in ((part[a], index[a]) for a in range(len(AXES)) for part in (present, shares, reached))]
+    return [(*(r[n] for n in names), *map(float, row)) for r, row in zip(found, zip(weight, chance, *columns))]
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, keep: float = KEEP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _tokens, _source, _lang, _topic, _weight, _probability and _kept.
+def mixed(
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, alpha: float = ALPHA, keep: float = KEEP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
+    topics: dict[str, tuple[str, ...]] = TOPICS, columns: tuple[str, ...] | None = None,
+) -> DataFrame:
+    """docs with _tokens, _source, _lang, _topic, _weight, _probability, _kept and, of the row's value on each axis, _<axis>_present, _target and _reached.
 
-    Token masses of the (source, lang, topic) cells, at most MAX_CELLS rows,
-    are raked on the driver to the target shares of each axis; without
+    Token masses of the (source, lang, topic) cells, at most MAX_CELLS, are
+    raked on the driver to the target shares of each axis; on an axis without
     targets a value's share is its tokens to the power alpha. A cell's weight
     is its raked over its present mass. Documents are kept independently with
     probability `keep` * weight, raked again where that is above 1 (`chances`),
     so that `keep` of all tokens have the target shares; targets that the
     tokens can't give at this `keep` are logged with what is reached instead.
     The draw is a hash of id, text and seed, so repeated rows share their fate.
-
-    Null source and language count as the empty value; targets for values
-    without tokens are left out and the rest scaled up. Empty texts have no
-    tokens and their cell's probability. An empty table gives an empty result.
+    Shares are of all tokens (present), wanted (target) and of the expected
+    kept tokens (reached). The topic is the column topic where there is one,
+    else it is told by the cues in `topics`. With `columns` only these of docs
+    are returned, and the texts are read once.
+
+    Null or absent source and language count as the empty value; targets for
+    values without tokens are left out and the rest scaled up, values without
+    a target are left out of the sample. Empty texts have no tokens and their
+    cell's probability. Columns of docs that are named like a new one are
+    replaced. An empty table gives an empty result.
     """
     spark, names = docs.sparkSession, [f"_{a}" for a in AXES]
-    rows = with_axes(docs, text_col)
-    found = rows.groupBy(*names).agg(F.sum("_tokens").alias("t")).orderBy(*names).limit(MAX_CELLS + 1).collect()
-    if len(found) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells of {AXES}")
-    tokens = np.array([r["t"] or 0 for r in found], float)
-    index, shares = [], []
-    for axis, name in zip(AXES, names):
-        values, at = np.unique([r[name] for r in found] or np.array([], str), return_inverse=True)
-        have = np.bincount(at, tokens, len(values)) if len(found) else np.zeros(0)
-        want = np.array([(targets or {})[axis].get(v, 0.0) for v in values]) if axis in (targets or {}) else have**alpha
-        want = np.where(have > 0, want, 0.0)
-        index.append(at)
-        shares.append(want / want.sum() if want.sum() else want)
-    mass = raked(tokens, index, shares) if tokens.sum() else tokens
-    weight = np.divide(mass, tokens, out=np.ones_like(mass), where=tokens > 0)
-    chance = chances(tokens, weight, index, shares, keep) if tokens.sum() else np.full(len(tokens), keep)
-    if tokens.sum() and (missed := shortfall(tokens, chance, index, shares)):
-        told = ", ".join(f"{AXES[a]} {np.unique([r[names[a]] for r in found])[v]} {want:.4f} -> {got:.4f}" for a, v, want, got in missed[:TOLD])
-        log.warning("keep %g: %d targets are out of reach (all have the tokens up to keep %.3f); target -> reached, farthest first: %s", keep, len(missed), largest_keep(tokens, index, shares), told)
-    cells = spark.createDataFrame([(*(r[n] for n in names), float(w), float(p)) for r, w, p in zip(found, weight, chance)], ", ".join(f"{n} string" for n in names) + ", _weight double, _probability double")
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    rows = with_axes(docs, id_col, text_col, topics, seed)
+    if columns is not None:
+        rows = C.cut(rows.withColumn("doc", F.struct(*(F.col(f"doc.`{c}`") for c in columns))), "mixing-rows")
+    cells = C.cut(rows.groupBy(*names).agg(F.sum("_tokens").alias("t")), "mixing-cells")
+    if (n := cells.count()) > MAX_CELLS:
+        raise ValueError(f"{n} cells of {AXES}; at most {MAX_CELLS} are raked")
+    found = cells.orderBy(*names).collect()
+    shares = [f"_{a}_{x}" for a in AXES for x in ("present", "target", "reached")]
+    numbers = ["_weight", "_probability", *shares]
+    table = spark.createDataFrame(calibrated(found, targets or {}, alpha, keep), ", ".join([f"{n} string" for n in names] + [f"{n} double" for n in numbers]))
     # the cells' size is known here, so that whole texts needn't be shuffled to find it out
-    size = sum(16 + sum(len(r[n].encode("utf-8", "surrogatepass")) for n in names) for r in found)
-    return rows.join(F.broadcast(cells) if size <= BROADCAST_BYTES else cells, names, "left").withColumn("_kept", draw < F.col("_probability"))
+    size = sum(8 * len(numbers) + sum(len(r[n].encode("utf-8", "surrogatepass")) for n in names) for r in found)
+    out = rows.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, names, "left").withColumn("_kept", F.col("_draw") < F.col("_probability"))
+    new = ["_tokens", *names, *numbers, "_kept"]
+    return out.select(*(F.col(f"doc.`{c}`") for c in (columns or docs.columns) if c not in new), *new)

@@ -26,8 +26,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixed(lead(spark, "documents", sf_dir))
-    return out.select("doc_id", *(F.col(f"_{a}").alias(a) for a in mixing.AXES), F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_probability").alias("probability"), F.col("_kept").alias("kept"))
+    out = mixing.mixed(lead(spark, "documents", sf_dir), mixing.TARGETS, columns=("doc_id",))
+    return out.select("doc_id", *(F.col(c).alias(c[1:]) for c in out.columns if c != "doc_id"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
