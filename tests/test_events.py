@@ -272,3 +272,17 @@ def test_end_day_is_whole_and_nulls_last(spark):
     assert [r["category"] for r in engine.execute(MetricSpec("visitors", ("category",))).rows] == ["x", None]
     assert len(engine.execute(MetricSpec("visitors", ("event_date",))).rows) == 2
     assert engine.execute(MetricSpec("visitors", filters={"category": "'; DROP TABLE x;--"})).value == 0
+
+
+def test_steps_from_the_command_line(spark, tmp_path):
+    from tidewater.__main__ import main
+
+    d = str(tmp_path)
+    assert "rows: " in main(["generate", "--sessions", "300", "--days", "4", "--end", "2024-02-01", d], spark)
+    told = main(["silver", "--lateness-hours", "24", d], spark)
+    assert "rows_out: " in told and "more than 24 hours late" in told and "precision" in told
+    assert "Sessions: " in main(["ask", d, "sessions"], spark)
+    sliced = main(["ask", d, "conversion rate", "--by", "device", "--from", "2024-01-29", "--where", "membership_tier=guest"], spark)
+    assert "may mean" in sliced and "device " in sliced and "event_day >= " in sliced and "guest" not in sliced.split("sql: ")[1]
+    assert '"query_hash"' in main(["ask", d, "aov", "--json"], spark)
+    assert main(["ask", d, "profit"], spark).startswith("rejected: ") and "device" in main(["ask", d, "sessions", "--by", "store"], spark)
