@@ -324,9 +324,32 @@ def corrupt_drop(spark, d):
     return C.loss_ledger(fault_free(spark, d).withColumn("_true_ts", F.col("event_ts")), C.Chaos())
 
 
-@query()
+_TINY = "1 / 8589934592.0"
+_ALL = f""", sp AS (SELECT epoch_us(min(event_ts)) AS lo, epoch_us(max(event_ts)) AS hi FROM ff),
+f1 AS (SELECT ff.* EXCLUDE (device), ff.device AS d, {_u('skew', 'visitor_id')} AS us, {_u('absurd', 'visitor_id')} AS ua, {_u('skew-a', 'visitor_id')} AS ux, {_u('skew-b', 'visitor_id')} AS uy,
+  ff.device = 'app' AND epoch_us(event_ts) >= CAST(floor(lo + (hi - lo) * 0.62e0) AS BIGINT) AND {_u('drift', 'visitor_id')} < 0.55 AS drifted, _is_bot AND {_u('spoof', 'session_id')} < 0.75 AS spoofed,
+  {_u('lag', 'event_id')} AS ul, {_u('copies', 'event_id')} AS uc FROM ff, sp),
+f2 AS (SELECT *, CASE WHEN spoofed THEN CASE WHEN {_u('spoof-device', 'event_id')} < 0.8 THEN 'desktop' ELSE 'mobile_web' END ELSE d END AS device,
+  CASE WHEN us < 0.004 THEN CASE WHEN ua < 1 / 3.0 THEN -20455 WHEN ua < 2 / 3.0 THEN -3650 ELSE 4380 END * 86400.0 WHEN us < 0.06 THEN round(sqrt(-2 * ln(greatest(ux, {_TINY}))) * cos(2 * pi() * uy) * 240, 3) ELSE 0 END AS offset_s FROM f1),
+f3 AS (SELECT *, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY session_id) AS n, first_value(device) OVER w AS d0 FROM f2 WINDOW w AS (PARTITION BY session_id ORDER BY event_ts, event_id)),
+f4 AS (SELECT *, d0 = 'app' AND n >= 3 AND {_u('offline', 'session_id')} < 0.1 AND k >= 1 + floor({_u('cut', 'session_id')} * (n - 1)) AS buffered, (1 + {_u('flush', 'session_id')} * 79) * 3600 AS flush_s FROM f3),
+f5 AS (SELECT *, round(least(12.0, 0.4 * pow(1 / greatest(ul, 0.02), 0.55)), 6) + CASE WHEN buffered THEN round(flush_s, 6) ELSE 0 END AS lag0, unnest(range(0, 1 + CAST(floor(ln(greatest(uc, {_TINY})) / ln(0.015)) AS BIGINT))) AS copy FROM f4),
+f6 AS (SELECT *, CASE WHEN copy > 0 THEN round(0.2e0 + {_u('again', "event_id || ':' || copy")} * (240e0 - 0.2e0), 6) ELSE 0 END AS again, row_number() OVER (PARTITION BY session_id ORDER BY event_ts DESC, event_id DESC, copy DESC) = 1 AS is_last FROM f5)
+SELECT event_id, session_id, visitor_id, event_name, device, CASE WHEN spoofed THEN 'guest' ELSE membership_tier END AS membership_tier, CASE WHEN NOT drifted THEN product_id END AS product_id, CASE WHEN drifted THEN product_id END AS item_id,
+CASE WHEN drifted THEN '2.4.0' ELSE '2.3.0' END AS app_version, CAST(round(offset_s * 1000) AS BIGINT) AS offset_ms, round(lag0 + again, 3) AS lag, drifted, spoofed, buffered, copy > 0 AS duplicate
+FROM f6 WHERE NOT {_u('drop', "event_id || ':' || copy")} < CASE WHEN is_last THEN 0.055 ELSE 0.018 END"""
+
+
+@query(_FREE + _ALL)
 def corrupt_all(spark, d):
-    return C.corrupt(fault_free(spark, d))
+    rows = C.corrupt(fault_free(spark, d))
+    micros = lambda a, b: F.unix_micros(a) - F.unix_micros(b)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return rows.select(
+        "event_id", "session_id", "visitor_id", "event_name", "device", "membership_tier", "product_id", "item_id", "app_version",
+        F.floor((micros("event_ts", "_true_ts") + 500) / 1000).cast("long").alias("offset_ms"), F.round(micros("ingested_at", "_true_ts") / 1e6, 3).alias("lag"),
+        flag("_drifted").alias("drifted"), flag("_bot_spoofed").alias("spoofed"), flag("_was_buffered").alias("buffered"), flag("_is_duplicate").alias("duplicate"),
+    )
 
 
 @query()
