@@ -43,3 +43,10 @@ def test_spread_of_neighbours(spark):
 
 def test_empty(spark):
     assert sharding.shard_rows(empty(spark)).count() == 0
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark):
+    rows = [(5, "same", 1, "x", "y")] * 30 + [(5, "z" * 3_000_000, 1, "x", "y"), (None, None, 1, "x", "y"), (None, "", 1, "x", "y")]
+    out = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string, shard int, slot string, part string")).collect()
+    assert sorted((r.shard, r.slot) for r in out) == [(i, 0) for i in range(33)]
+    assert {r.size for r in out} == {20, 3_000_016, 16}
