@@ -286,3 +286,30 @@ def test_steps_from_the_command_line(spark, tmp_path):
     assert "may mean" in sliced and "device " in sliced and "event_day >= " in sliced and "guest" not in sliced.split("sql: ")[1]
     assert '"query_hash"' in main(["ask", d, "aov", "--json"], spark)
     assert main(["ask", d, "profit"], spark).startswith("rejected: ") and "device" in main(["ask", d, "sessions", "--by", "store"], spark)
+
+
+def test_generated_shares_and_conversion(clean):
+    """The shares that the source is set to, within four standard deviations, and a conversion in the expected range."""
+    from tidewater.sources import world as w
+
+    s = clean.groupBy("session_id").agg(
+        F.first("_persona").alias("persona"), F.first("device").alias("device"), F.first("membership_tier").alias("tier"), F.hour(F.min("event_ts")).alias("hour"),
+        F.min_by("page_type", "event_ts").alias("landing"), F.date_format(F.min("event_ts"), "E").alias("weekday"), F.bool_or(F.col("event_name") == "purchase").alias("buys"),
+    ).toPandas()
+    wanted = {
+        "persona": {k: v[0] for k, v in w.PERSONAS.items()},
+        "landing": w.LANDING,
+        "hour": dict(enumerate(w.HOURS)),
+        "weekday": dict(zip(("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"), w.WEEKDAYS)),
+    }
+    n = len(s)
+    for axis, shares in wanted.items():
+        got, total = s[axis].value_counts(), sum(shares.values())
+        for key, share in shares.items():
+            p = share / total
+            assert abs(got.get(key, 0) - n * p) < 4 * (n * p * (1 - p)) ** 0.5 + 1, (axis, key)
+    # a visitor's sessions share device and tier, so these spread wider
+    for axis, shares in (("device", w.DEVICES), ("tier", w.TIERS)):
+        for key, v in shares.items():
+            assert abs((s[axis] == key).mean() - v[0]) < 0.08, (axis, key)
+    assert 0.03 < s.buys.mean() < 0.11

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.uniform import uniform
@@ -14,6 +14,7 @@ from tidewater.operators import quality as Q
 from tidewater.operators import silver as S
 from tidewater.plans.semantic import Engine, MetricSpec, compile_spec, load_layer
 from tidewater.sources.generate import generate_events
+from tidewater.sources.generate_sql import events_sql
 from tidewater.sources.tables import BRONZE_SQL, bronze_view
 
 LAYER = load_layer()
@@ -352,17 +353,43 @@ def corrupt_all(spark, d):
     )
 
 
-@query()
+#: The end of the generated days; the generator's own default sizes hold.
+END = datetime(2024, 2, 1, tzinfo=timezone.utc)
+
+
 def generated_events(spark, d):
-    return generate_events(spark, datetime(2024, 2, 1, tzinfo=timezone.utc), n_sessions=2000, days=7)
+    rows = generate_events(spark, END)
+    return rows.select(
+        "event_id", "session_id", "visitor_id", "member_id", us("event_ts").alias("event_us"), "event_name", "page_type", "product_id", "category", "search_term",
+        "device", "membership_tier", "order_id", "order_total", F.col("_persona").alias("persona"),
+    )
+
+
+def generated_profile(spark, d):
+    """Shares that the source is tuned for, by hour of the day, persona, tier, device and landing page."""
+    first = generate_events(spark, END).withColumn("landing", F.first("page_type").over(Window.partitionBy("session_id").orderBy("event_ts", "event_id")))
+    s = first.groupBy("session_id", "_persona", "membership_tier", "device", "landing").agg(F.hour(F.min("event_ts")).alias("hour"), F.count(F.lit(1)).alias("events"), F.bool_or(F.col("event_name") == "purchase").alias("buys"))
+    axes = [F.struct(F.lit(n).alias("axis"), F.col(c).cast("string").alias("value")) for n, c in (("persona", "_persona"), ("tier", "membership_tier"), ("device", "device"), ("landing", "landing"), ("hour", "hour"))]
+    cells = s.select("events", "buys", F.explode(F.array(*axes)).alias("x")).groupBy("x.axis", "x.value")
+    return cells.agg(F.count(F.lit(1)).alias("sessions"), F.sum("events").alias("events"), F.count_if("buys").alias("buying"))
 
 
-@query()
 def generated_silver_sessions(spark, d):
     """Source, faults and silver in one plan; then sessions by device through the semantic layer."""
-    bronze = C.corrupt(generate_events(spark, datetime(2024, 2, 1, tzinfo=timezone.utc), n_sessions=2000, days=7))
+    bronze = C.corrupt(generate_events(spark, END))
     return Engine(S.to_silver(S.quarantine(bronze)[0]), LAYER).frame(MetricSpec("sessions", ("device",)))
 
 
+QUERIES |= {"generated_events": generated_events, "generated_profile": generated_profile, "generated_silver_sessions": generated_silver_sessions}
+SQL |= {
+    "generated_events": f"WITH {events_sql(END)} SELECT * FROM generated",
+    "generated_profile": f"""WITH {events_sql(END)}, f AS (SELECT *, first_value(page_type) OVER (PARTITION BY session_id ORDER BY event_us, event_id) AS landing FROM generated),
+s AS (SELECT session_id, persona, membership_tier, device, landing, CAST(min(event_us) // 3600000000 % 24 AS VARCHAR) AS hour, count(*) AS events, bool_or(event_name = 'purchase') AS buys FROM f GROUP BY ALL),
+c AS (SELECT 'persona' AS axis, persona AS value, events, buys FROM s UNION ALL SELECT 'tier', membership_tier, events, buys FROM s UNION ALL SELECT 'device', device, events, buys FROM s
+  UNION ALL SELECT 'landing', landing, events, buys FROM s UNION ALL SELECT 'hour', hour, events, buys FROM s)
+SELECT axis, value, count(*) AS sessions, CAST(sum(events) AS BIGINT) AS events, count(*) FILTER (WHERE buys) AS buying FROM c GROUP BY axis, value""",
+}
+
+
 def flagship(spark, d):
     return Engine(S.to_silver(clean(spark, d)), LAYER).frame(MetricSpec("sessions", ("device",)))

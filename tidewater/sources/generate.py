@@ -76,7 +76,10 @@ def generate_events(spark: SparkSession, end: datetime, n_sessions: int = 5000,
     order = F.array_sort(F.transform("viewed", lambda x: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), sid.cast("string"), x)).alias("h"), x.alias("sku"))))
     f = f.withColumn("cart", F.transform(F.slice(order, 1, size), lambda x: x["sku"]))
     closes = u("close") < _lookup({k: (v[4],) for k, v in w.PERSONAS.items()}, 0, F.col("_persona"))
-    total = F.round(F.aggregate("cart", F.lit(0.0), lambda a, x: a + _lookup(w.SKUS, 1, x)) * _lookup(w.TIERS, 2, F.col("membership_tier")), 2)
+    # in whole cents and tenths of the factor, halves up
+    cents = F.aggregate("cart", F.lit(0).cast("long"), lambda a, x: a + F.round(_lookup(w.SKUS, 1, x) * 100).cast("long"))
+    tenths = F.round(_lookup(w.TIERS, 2, F.col("membership_tier")) * 10).cast("long")
+    total = F.floor((cents * tenths + 5) / 10) / 100
     item = lambda name, page, sku, buys: F.struct(F.lit(name).alias("event_name"), F.lit(page).alias("page_type"), sku.alias("product_id"), F.lit(buys).alias("buys"))
     none = F.lit(None).cast("string")
     more = F.concat(F.transform("cart", lambda x: item("add_to_cart", "cart", x, False)), F.array(item("begin_checkout", "checkout", none, False)), F.when(closes, F.array(item("purchase", "confirmation", none, True))).otherwise(F.array().cast("array<struct<event_name:string,page_type:string,product_id:string,buys:boolean>>")))
