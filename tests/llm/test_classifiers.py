@@ -34,6 +34,28 @@ def test_chain_marginals_against_all_paths():
         assert np.allclose(1 / (1 + np.exp(-(x + y))), mass[:, 1] / mass.sum(1) if len(s) else [])
 
 
+def test_runs_of_any_length_give_the_same():
+    model = crf.Model()
+    model.start, model.trans = -0.7, np.array([[0.3, -1.0], [0.2, 2.9]])
+    rng = np.random.default_rng(6)
+    seqs = [rng.normal(-3, 4, size=n) for n in (1, 400, 0, 37, 36, 2000, 72)]
+    whole = crf.forward_backward(model, seqs, 10_000)
+    for run in (1, 36, 128):
+        for a, b in zip(whole, crf.forward_backward(model, seqs, run)):
+            assert all(np.allclose(x, y) for x, y in zip(a, b))
+
+
+def test_features_by_kind_are_the_features():
+    model = crf.Model()
+    rng = np.random.default_rng(7)
+    words = ["Idiot", "the", "THE", "idiots", "Ab", "x"]
+    model.weights = {f: float(rng.normal()) for w in words for f in [*crf.features(w), *crf.beside(w)] if rng.random() < 0.7}
+    e = crf.Emissions(model)
+    for w in words:
+        want = (sum(model.weights.get(f, 0.0) for f in crf.features(w)), *(model.weights.get(f, 0.0) for f in crf.beside(w)))
+        assert np.allclose(e.known[e[w]], want)
+
+
 def test_no_tag_against_all_paths_and_gradient():
     texts = ["Good day to all", "you Foul thing you foul", "a day", "foul FOUL", "thing of the day good", "all foul day"]
     sample = crf.Sample(texts * 3, [0, 1, 0, 1, 0, 1] * 3)

@@ -31,6 +31,8 @@ ROUNDS, RATE, RIDGE, WRONG = 60, 0.25, 0.3, 0.02
 BEGINNINGS = (4, 5, 6, 7)
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 4, 2
 SCORED = "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>"
+#: Tokens of a run that goes through the chain in one piece.
+RUN = 128
 _WORD = re.compile(r"\w+")
 _REMEMBERED = 300_000
 
@@ -65,12 +67,22 @@ class Emissions(dict):
     """The number of each token as it stands in the text; `of` gives tokens their scores."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.bias = model.bias
         self.known: list[tuple[float, float, float]] = []
+        # by kind, so that a token needs no feature's name put together
+        self.by: dict[str, dict[str, float]] = {k: {} for k in ("w", "h", "before", "after", *(f"p{n}" for n in BEGINNINGS))}
+        for f, x in model.weights.items():
+            kind, _, value = f.partition("=")
+            self.by[kind][value] = x
+        self.begins = [(n, self.by[f"p{n}"]) for n in BEGINNINGS]
 
     def __missing__(self, word: str) -> int:
-        get = self.model.weights.get
-        self.known.append((sum(get(f, 0.0) for f in features(word)), *(get(f, 0.0) for f in beside(word))))
+        w, by = word.lower(), self.by
+        own = by["w"].get(w, 0.0) + by["h"].get(shape(word, w), 0.0)
+        for n, known in self.begins:
+            if len(w) >= n:
+                own += known.get(w[:n], 0.0)
+        self.known.append((own, by["before"].get(w, 0.0), by["after"].get(w, 0.0)))
         n = self[word] = len(self.known) - 1
         return n
 
@@ -82,40 +94,77 @@ class Emissions(dict):
         own, before, after = np.array(self.known, float).reshape(-1, 3).T
         out = []
         for x in ids:
-            s = self.model.bias + own[x]
+            s = self.bias + own[x]
             s[1:] += before[x[:-1]]
             s[:-1] += after[x[1:]]
             out.append(s)
         return out
 
 
-def forward_backward(model: Model, scores: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per sequence the log odds that forward and backward messages give each token; sequences run side by side."""
-    t = model.trans
-    order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
-    lengths = np.array([len(scores[i]) for i in order])
-    steps = int(lengths[0]) if len(order) else 0
-    active = [int(np.searchsorted(-lengths, -k, side="left")) for k in range(steps)]  # sequences longer than k
-    offsets = np.concatenate([[0], np.cumsum(active)]).astype(np.int64)
-    s, f, b = (np.zeros(int(offsets[-1])) for _ in range(3))
-    for r, i in enumerate(order):
-        s[offsets[: len(scores[i])] + r] = scores[i]
-    for k in range(steps):
-        lo, hi, n = offsets[k], offsets[k + 1], active[k]
+def _transferred(s: np.ndarray, at: np.ndarray, first: np.ndarray, length: int, trans: np.ndarray, start: float) -> np.ndarray:
+    """Of runs of `length` tokens the matrix that takes the odds before the run to those of its last token, up to a factor.
+
+    The runs marked in `first` begin a sequence, so what is before them doesn't count.
+    """
+    a = np.exp(trans - trans.max())
+    m = np.zeros((len(at), 2, 2))
+    m[:, 0, 0] = m[:, 1, 1] = 1
+    for k in range(length):
+        e = np.exp(np.clip(s[at + k], -300, 300))[:, None]
+        top, low = e * (a[1, 1] * m[:, 0] + a[0, 1] * m[:, 1]), a[1, 0] * m[:, 0] + a[0, 0] * m[:, 1]
+        if k == 0:
+            top[first], low[first] = np.stack([0 * e[first, 0], e[first, 0] * np.exp(start)], axis=1), (0.0, 1.0)
+        most = np.maximum(top, low).max(axis=1)[:, None]
+        m[:, 0], m[:, 1] = top / most, low / most
+    return m
+
+
+def _messages(s: np.ndarray, first: np.ndarray, sizes: np.ndarray, trans: np.ndarray, start: float, run: int = RUN) -> np.ndarray:
+    """The log odds that forward messages give each token; sequences lie one behind the other.
+
+    Sequences are cut into runs that go side by side, so a long one takes no
+    more steps than a run: the runs' transfer matrices give the odds with which
+    each begins.
+    """
+    runs = -(-sizes // run)
+    begins = np.cumsum(runs) - runs
+    of = np.repeat(np.arange(len(sizes)), runs)
+    number = np.arange(len(of)) - begins[of]
+    at, size = first[of] + run * number, np.minimum(run, sizes[of] - run * number)
+    before = np.zeros(len(of))
+    inner = np.flatnonzero(number < runs[of] - 1)
+    if len(inner):
+        m = np.zeros((len(of), 2, 2))
+        m[inner] = _transferred(s, at[inner], number[inner] == 0, run, trans, start)
+        odds = np.ones(len(sizes))
+        for j in range(int(runs.max()) - 1):
+            long = np.flatnonzero(runs > j + 1)
+            x, o = m[begins[long] + j], odds[long]
+            odds[long] = (x[:, 0, 0] * o + x[:, 0, 1]) / (x[:, 1, 0] * o + x[:, 1, 1])
+            before[begins[long] + j + 1] = np.log(odds[long])
+    order = np.argsort(-size, kind="stable")
+    at, x, opening, size = at[order], before[order], number[order] == 0, size[order]
+    out = np.zeros(len(s))
+    for k in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -k, side="left"))  # runs longer than k
+        x = x[:n]
+        step = np.logaddexp(x + trans[1, 1], trans[0, 1]) - np.logaddexp(x + trans[1, 0], trans[0, 0])
         if k == 0:
-            f[lo:hi] = s[lo:hi] + model.start
-        else:
-            x = f[offsets[k - 1] : offsets[k - 1] + n]
-            f[lo:hi] = s[lo:hi] + np.logaddexp(x + t[1, 1], t[0, 1]) - np.logaddexp(x + t[1, 0], t[0, 0])
-    for k in range(steps - 2, -1, -1):
-        n = active[k + 1]
-        y = b[offsets[k + 1] : offsets[k + 2]] + s[offsets[k + 1] : offsets[k + 2]]
-        b[offsets[k] : offsets[k] + n] = np.logaddexp(t[1, 1] + y, t[1, 0]) - np.logaddexp(t[0, 1] + y, t[0, 0])
-    forward, backward = [None] * len(scores), [None] * len(scores)
-    for r, i in enumerate(order):
-        at = offsets[: len(scores[i])] + r
-        forward[i], backward[i] = f[at], b[at]
-    return forward, backward
+            step[opening[:n]] = start
+        x = out[at[:n] + k] = s[at[:n] + k] + step
+    return out
+
+
+def forward_backward(model: Model, scores: list[np.ndarray], run: int = RUN) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per sequence the log odds that forward and backward messages give each token."""
+    sizes = np.array([len(x) for x in scores], np.int64)
+    first, s = np.cumsum(sizes) - sizes, np.concatenate([np.zeros(0), *scores])
+    f = _messages(s, first, sizes, model.trans, model.start, run)
+    # from behind it is the same with transitions turned round; its messages hold the token's own score
+    last = len(s) - first - sizes
+    b = _messages(s[::-1], last, sizes, model.trans.T, 0.0, run)[::-1] - s
+    cuts = first[1:]
+    return np.split(f, cuts) if len(scores) else [], np.split(b, cuts) if len(scores) else []
 
 
 def _sigmoid(x):
