@@ -31,6 +31,22 @@ def test_one_row_and_repeated_ids(spark):
     assert fp.edited_fingerprints(spark.createDataFrame([(3, "ab"), (3, "ab"), (3, "cd")], "doc_id long, text string")).count() == 3
 
 
+def test_a_missing_id_takes_several_ranges(spark):
+    rows = [(None, f"text {i} of those without an id") for i in range(300)] + [(5, f"{i}") for i in range(200)] + [(i, f"own {i}") for i in range(6, 60)]
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = fp.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(out) == len(rows)
+    hashes = {r.t: r.h for r in spark.createDataFrame(rows, "doc_id long, t string").selectExpr("t", "xxhash64(t) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
+    want = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        want.append((i, hashlib.sha256((t[: len(t) - len(t) // 2] + u[: len(t) // 2]).encode()).hexdigest()))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.edited_sha256)) for r in out)
+
+
 def test_groups(spark):
     rows = {r.doc_id: r for r in fp.fingerprint_groups(awkward(spark, ["Ａb  c", "ab c", "abc", None, ""])).collect()}
     assert [(rows[i].group_id, rows[i].group_size) for i in range(5)] == [(0, 2), (0, 2), (2, 1), (3, 2), (3, 2)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -115,8 +116,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Fingerprints of every text and of its text with the last half replaced by the next document's start; the groups of equal canonical texts.
 
     Documents follow each other by descending id, null ids last, equal ids by
-    text; the first follows the last. They are dealt to ranges of ids once;
-    the first row of each range also goes to the end of the range before it.
+    a hash of their texts; the first follows the last. They are dealt to ranges
+    of these once; the first row of each range also goes to the end of the
+    range before it.
     Null texts are empty. A single document follows itself. An empty table
     gives an empty result.
     """
@@ -124,19 +126,23 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     C.small_batches(spark)
     n = C.parts_of(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # ranges of ids from a sample sketch; how even they are doesn't change the result
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    ids = rows.select(key.alias("key"))
-    bounds = ids.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    bounds = sorted(set(bounds or []), reverse=True)
-    of = lambda k: F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda x: x > k))
-    firsts = {r["b"]: r["k"] for r in ids.groupBy(of(F.col("key")).alias("b")).agg(F.max("key").alias("k")).collect()}
+    # ranges from a sketch of the ids; how even they are doesn't change the result. An id that takes several ranges, as a
+    # missing one may, is divided by the hash of its texts
+    rows = rows.withColumn("key", F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("tie")))
+    found = rows.agg(F.percentile_approx("key.id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
+    bounds = []
+    for i, times in Counter(found or []).items():
+        bounds += [(i, (1 << 63) - 1 - (j + 1) * ((1 << 64) // (times + 1))) for j in range(times)]
+    as_key = lambda k: F.struct(F.lit(k[0]).cast("long").alias("id"), F.lit(k[1]).cast("long").alias("tie"))
+    above = F.array(*map(as_key, sorted(bounds, reverse=True))) if bounds else F.array().cast("array<struct<id:bigint,tie:bigint>>")
+    numbered = rows.withColumn("b", F.size(F.filter(above, lambda x: x > F.col("key"))))
+    firsts = {r["b"]: tuple(r["k"]) for r in numbered.groupBy("b").agg(F.max("key").alias("k")).collect()}
     order = sorted(firsts)
-    ahead = {firsts[b]: order[i - 1] for i, b in enumerate(order)}  # first key of a bucket -> the bucket before it
     edge = F.lit(None).cast("int")
-    if ahead:
-        edge = F.element_at(F.create_map(*[F.lit(v) for kv in ahead.items() for v in kv]), F.col("key"))
-    placed = rows.withColumn("key", key).withColumn("b", of(F.col("key"))).select("key", "text", "doc_id", F.explode(F.filter(F.array(F.struct(F.col("b"), F.lit(False).alias("edge")), F.struct(edge.alias("b"), F.lit(True).alias("edge"))), lambda x: x["b"].isNotNull())).alias("x"))
+    if order:  # first key of a bucket -> the bucket before it
+        edge = F.element_at(F.create_map(*[x for i, b in enumerate(order) for x in (as_key(firsts[b]), F.lit(order[i - 1]))]), F.col("key"))
+    both = F.array(F.struct("b", F.lit(False).alias("edge")), F.struct(edge.alias("b"), F.lit(True).alias("edge")))
+    placed = numbered.select("key", "text", "doc_id", F.explode(F.filter(both, lambda x: x["b"].isNotNull())).alias("x"))
     dealt = placed.select("x.b", "x.edge", "key", "doc_id", "text").repartitionById(max(order, default=0) + 1, F.col("b").cast("int"))
     edited = C.cut(dealt.sortWithinPartitions("b", "edge", F.desc("key"), "text").select("b", "doc_id", "text", "edge").mapInArrow(_edit, EDITED), "fingerprints")
     C.free_shuffles(spark)  # whole texts, of no use any more
