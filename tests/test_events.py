@@ -115,6 +115,14 @@ def test_judgments_do_not_read_truth(spark):
     assert Q.truth_free(lambda b: S.to_silver(S.quarantine(b)[0]), bronze, tuple(c for c in schemas.TRUTH if c in bronze.columns), judged)
 
 
+def test_pipeline_modules_do_not_name_truth():
+    from tidewater.plans import semantic
+    from tidewater.streaming import stream
+
+    assert not any(Q.truth_in_source(m, schemas.TRUTH) for m in (S, semantic, stream))
+    assert "_is_bot" in Q.truth_in_source(Q, schemas.TRUTH)
+
+
 def test_scores_of_nothing(spark):
     rows = events(spark, [{}]).withColumns({"is_suspected_bot": F.lit(False), "_is_bot": F.lit(False)})
     s = Q.bot_scorecard(rows).first()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,3 +108,9 @@ def truth_free(pipeline, bronze: DataFrame, truth: tuple[str, ...], judged: tupl
     a = pipeline(bronze).select("event_id", *judged)
     b = pipeline(bronze.drop(*truth)).select("event_id", *judged)
     return not a.exceptAll(b).limit(1).count() and not b.exceptAll(a).limit(1).count()
+
+
+def truth_in_source(module, truth: tuple[str, ...]) -> list[str]:
+    """The truth columns that a module's source names; a pipeline module must name none."""
+    words = set(re.findall(r"\w+", inspect.getsource(module)))
+    return [c for c in truth if c in words]
