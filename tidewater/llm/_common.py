@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 LOCAL_SHARED = "file:///tmp/checkpoints/tidewater"
 #: Texts in one batch to a Python worker, at most; a worker holds a batch or two.
 BATCH_ROWS = 1000
+#: And bytes.
+BATCH_BYTES = 8 << 20
 
 #: See `join_groups`.
 HOT_SHARE = 1000
@@ -120,11 +122,12 @@ def crc_mod(col: Column, n: int) -> Column:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS; whole texts make 10,000 rows too large for a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, for good: whole texts make 10,000 rows or 64 MB too large for a worker."""
+    for kind, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{kind}PerBatch"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def parts_of(spark: SparkSession) -> int:
