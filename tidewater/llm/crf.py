@@ -196,18 +196,12 @@ class Sample:
         for t, _ in tokens:
             for w in t:
                 words.setdefault(w, len(words))
-        own = [features(w) for w in words]
-        near = [beside(w) for w in words]
-        seen: Counter = Counter()
-        for t, _ in tokens:
-            ids = {words[w] for w in t}
-            seen.update({f for i in ids for f in own[i]} | {f for i in ids for f in near[i]})
-        self.names = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= SEEN_IN))}
-        at = [[self.names[f] for f in fs if f in self.names] for fs in own]
+        self.names = {f: i for i, f in enumerate(sorted(self._frequent([t for t, _ in tokens])))}
+        at = [[self.names[f] for f in features(w) if f in self.names] for w in words]
         self.word = np.repeat(np.arange(len(words)), [len(x) for x in at])
         self.feature = np.array([i for x in at for i in x], np.int64)
         # the last number stands for features that are left out
-        self.before, self.after = (np.array([self.names.get(fs[k], len(self.names)) for fs in near], np.int64) for k in (0, 1))
+        self.before, self.after = (np.array([self.names.get(beside(w)[k], len(self.names)) for w in words], np.int64) for k in (0, 1))
         self.words = len(words)
         self.ids = np.array([words[w] for t, _ in tokens for w in t], np.int64)
         self.labels = np.array([y for _, y in tokens], float)
@@ -218,6 +212,19 @@ class Sample:
         self.last[self.first + sizes - 1] = True
         self.inner = np.flatnonzero(~np.isin(np.arange(len(self.ids)), self.first))
 
+    @staticmethod
+    def _frequent(tokens: list[list[str]]) -> set[str]:
+        """Features in SEEN_IN documents or more; a word's three are counted as one, and no rare one's name is put together."""
+        words, begins, shapes = Counter(), Counter(), Counter()
+        for t in tokens:
+            own = {(w, w.lower()) for w in set(t)}
+            lower = {x for _, x in own}
+            words.update(lower)
+            begins.update({x[:n] for x in lower for n in BEGINNINGS if len(x) >= n})
+            shapes.update({shape(w, x) for w, x in own})
+        often = lambda seen: (x for x, n in seen.items() if n >= SEEN_IN)
+        return {f"{kind}={x}" for x in often(words) for kind in ("w", "before", "after")} | {f"p{len(x)}={x}" for x in often(begins)} | {f"h={x}" for x in often(shapes)}
+
     def likelihood(self, params: np.ndarray, weight: np.ndarray, model: Model) -> tuple[float, np.ndarray]:
         """The documents' log likelihood, each at its weight, and its gradient.
 
