@@ -13,7 +13,7 @@ from tidewater.sources.world import DEVICES, DRIFTED_VERSION
 
 @dataclass(frozen=True)
 class Chaos:
-    """How much of each fault; a rate of 0 leaves it out (for drift: the adoption rate)."""
+    """How much of each fault; a rate of 0 leaves it out (for drift: the adoption rate). The defaults are fixed values."""
 
     duplicate_rate: float = 0.015
     lag_low: float = 0.4
@@ -40,18 +40,31 @@ def skew_clocks(df: DataFrame, c: Chaos) -> DataFrame:
 
 def drift_schema(df: DataFrame, c: Chaos) -> DataFrame:
     """After a part of the time span, some visitors' app sends item_id instead of product_id. One small aggregate."""
-    span = df.agg(F.min("_true_ts").alias("lo"), F.max("_true_ts").alias("hi")).select(F.timestamp_micros((F.unix_micros("lo") + (F.unix_micros("hi") - F.unix_micros("lo")) * F.lit(c.drift_at)).cast("long")).alias("_cut"))
-    hit = F.coalesce((F.col("device") == "app") & (F.col("_true_ts") >= F.col("_cut")) & (uniform(c.seed, "drift", F.col("visitor_id")) < c.drift_adoption), F.lit(False))
+    lo, hi = F.unix_micros("lo"), F.unix_micros("hi")
+    span = df.agg(F.min("_true_ts").alias("lo"), F.max("_true_ts").alias("hi"))
+    span = span.select(F.timestamp_micros((lo + (hi - lo) * F.lit(c.drift_at)).cast("long")).alias("_cut"))
+    adopts = uniform(c.seed, "drift", F.col("visitor_id")) < c.drift_adoption
+    hit = F.coalesce((F.col("device") == "app") & (F.col("_true_ts") >= F.col("_cut")) & adopts, F.lit(False))
     out = df.crossJoin(F.broadcast(span)).withColumn("_hit", hit)  # one row
     new = lambda col: F.when(F.col("_hit"), F.lit(DRIFTED_VERSION)).otherwise(F.col(col))
-    return out.withColumns({"item_id": F.when(F.col("_hit"), F.col("product_id")), "product_id": F.when(~F.col("_hit"), F.col("product_id")), "app_version": new("app_version"), "schema_version": new("schema_version"), "_drifted": F.when(F.col("_hit"), True)}).drop("_hit", "_cut")
+    return out.withColumns({
+        "item_id": F.when(F.col("_hit"), F.col("product_id")),
+        "product_id": F.when(~F.col("_hit"), F.col("product_id")),
+        "app_version": new("app_version"),
+        "schema_version": new("schema_version"),
+        "_drifted": F.when(F.col("_hit"), True),
+    }).drop("_hit", "_cut")
 
 
 def spoof_bots(df: DataFrame, c: Chaos) -> DataFrame:
     """Some bot sessions pose as people: a device drawn for each event, tier guest."""
     hit = F.coalesce(F.col("_is_bot") & (uniform(c.seed, "spoof", F.col("session_id")) < c.spoof_rate), F.lit(False))
     device = pick(uniform(c.seed, "spoof-device", F.col("event_id")), {"desktop": 0.8, "mobile_web": 0.2})
-    return df.withColumns({"device": F.when(hit, device).otherwise(F.col("device")), "membership_tier": F.when(hit, "guest").otherwise(F.col("membership_tier")), "_bot_spoofed": F.when(hit, True)})
+    return df.withColumns({
+        "device": F.when(hit, device).otherwise(F.col("device")),
+        "membership_tier": F.when(hit, "guest").otherwise(F.col("membership_tier")),
+        "_bot_spoofed": F.when(hit, True),
+    })
 
 
 def stamp_ingestion(df: DataFrame, c: Chaos) -> DataFrame:

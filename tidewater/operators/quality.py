@@ -15,10 +15,14 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def bot_scorecard(silver: DataFrame) -> DataFrame:
     """One row: tp, fp, fn, tn by session, precision, recall, f1 (0 where undefined)."""
-    s = silver.groupBy("session_id").agg(F.coalesce(F.bool_or("is_suspected_bot"), F.lit(False)).alias("p"), F.coalesce(F.bool_or("_is_bot"), F.lit(False)).alias("t"))
-    out = s.agg(*(F.count_if(c).alias(n) for n, c in (("tp", F.col("p") & F.col("t")), ("fp", F.col("p") & ~F.col("t")), ("fn", ~F.col("p") & F.col("t")), ("tn", ~F.col("p") & ~F.col("t")))))
-    out = out.withColumns({"precision": _ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": _ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
-    return out.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    flag = lambda c, name: F.coalesce(F.bool_or(c), F.lit(False)).alias(name)
+    s = silver.groupBy("session_id").agg(flag("is_suspected_bot", "p"), flag("_is_bot", "t"))
+    p, t = F.col("p"), F.col("t")
+    cells = {"tp": p & t, "fp": p & ~t, "fn": ~p & t, "tn": ~p & ~t}
+    out = s.agg(*(F.count_if(c).alias(n) for n, c in cells.items()))
+    tp, precision, recall = F.col("tp"), F.col("precision"), F.col("recall")
+    out = out.withColumns({"precision": _ratio(tp, tp + F.col("fp")), "recall": _ratio(tp, tp + F.col("fn"))})
+    return out.withColumn("f1", _ratio(2 * precision * recall, precision + recall))
 
 
 def scorecard_text(score: dict) -> str:
@@ -37,16 +41,28 @@ def restatement(silver: DataFrame, report_hour: int = 6, min_sessions: int = 50,
     early = F.coalesce(F.col("ingested_at") <= F.col("event_date") + F.expr("interval 1 day") + F.make_dt_interval(F.lit(0), F.lit(report_hour)), F.lit(False))
     bought = F.col("event_name") == "purchase"
     out = silver.filter("event_date is not null").groupBy(F.to_date("event_date").alias("day")).agg(
-        F.count_if(early).alias("events_early"), F.count(F.lit(1)).alias("events_final"), F.count_distinct(F.when(early, F.col("derived_session_id"))).alias("sessions_early"), F.count_distinct("derived_session_id").alias("sessions_final"),
-        F.count_if(early & bought).alias("purchases_early"), F.count_if(bought).alias("purchases_final"),
-    ).filter(F.col("sessions_final") > min_sessions)
-    out = out.withColumns({"conv_early": F.col("purchases_early") / F.greatest(F.col("sessions_early"), F.lit(1)), "conv_final": F.col("purchases_final") / F.greatest(F.col("sessions_final"), F.lit(1))})
-    out = out.withColumn("conv_moved", (F.col("conv_final") - F.col("conv_early")) / F.when(F.col("conv_early") == 0, 1.0).otherwise(F.col("conv_early")))
+        F.count_if(early).alias("events_early"),
+        F.count(F.lit(1)).alias("events_final"),
+        F.count_distinct(F.when(early, F.col("derived_session_id"))).alias("sessions_early"),
+        F.count_distinct("derived_session_id").alias("sessions_final"),
+        F.count_if(early & bought).alias("purchases_early"),
+        F.count_if(bought).alias("purchases_final"),
+    )
+    out = out.filter(F.col("sessions_final") > min_sessions)
+    rate = lambda x: F.col(f"purchases_{x}") / F.greatest(F.col(f"sessions_{x}"), F.lit(1))
+    out = out.withColumns({"conv_early": rate("early"), "conv_final": rate("final")})
+    before, after = F.col("conv_early"), F.col("conv_final")
+    out = out.withColumn("conv_moved", (after - before) / F.when(before == 0, 1.0).otherwise(before))
     return out if last_days is None else out.orderBy(F.desc("day")).limit(last_days)
 
 
 def restatement_text(rows: list[dict]) -> str:
-    line = lambda r: f"{r['day']:%a %m-%d}  sessions {r['sessions_early']} -> {r['sessions_final']}  purchases {r['purchases_early']} -> {r['purchases_final']}  {r['conv_early']:.2%} -> {r['conv_final']:.2%}  {r['conv_moved']:+.2%}"
+    """A line for each day: what was reported early and what the day came to."""
+
+    def line(r: dict) -> str:
+        counts = [f"{name} {r[f'{name}_early']} -> {r[f'{name}_final']}" for name in ("sessions", "purchases")]
+        return "  ".join([f"{r['day']:%a %m-%d}", *counts, f"{r['conv_early']:.2%} -> {r['conv_final']:.2%}", f"{r['conv_moved']:+.2%}"])
+
     return "\n".join(line(r) for r in sorted(rows, key=lambda r: r["day"]))
 
 
@@ -55,10 +71,22 @@ def summary(events: DataFrame) -> DataFrame:
     flag = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False))) if c in events.columns else F.lit(0).cast("long")
     lag = (F.unix_micros("ingested_at") - F.unix_micros("_true_ts")) / 1e6
     out = events.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("events"), F.count_distinct("session_id").alias("sessions"), F.count_distinct("visitor_id").alias("visitors"), F.count_if(F.col("event_name") == "purchase").alias("purchases"),
-        flag("_is_duplicate").alias("duplicates"), flag("_was_buffered").alias("buffered"), flag("_drifted").alias("drifted"), flag("_bot_spoofed").alias("spoofed"),
-        F.count_distinct(F.when(F.col("_is_bot"), F.col("session_id"))).alias("bot_sessions"), F.count_if("_is_bot").alias("bot_events"),
-        F.percentile(lag, F.lit(0.5)).alias("lag_p50"), F.percentile(lag, F.lit(0.95)).alias("lag_p95"), F.max(lag).alias("lag_max"), F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"),
+        F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("event_id").alias("events"),
+        F.count_distinct("session_id").alias("sessions"),
+        F.count_distinct("visitor_id").alias("visitors"),
+        F.count_if(F.col("event_name") == "purchase").alias("purchases"),
+        flag("_is_duplicate").alias("duplicates"),
+        flag("_was_buffered").alias("buffered"),
+        flag("_drifted").alias("drifted"),
+        flag("_bot_spoofed").alias("spoofed"),
+        F.count_distinct(F.when(F.col("_is_bot"), F.col("session_id"))).alias("bot_sessions"),
+        F.count_if("_is_bot").alias("bot_events"),
+        F.percentile(lag, F.lit(0.5)).alias("lag_p50"),
+        F.percentile(lag, F.lit(0.95)).alias("lag_p95"),
+        F.max(lag).alias("lag_max"),
+        F.min("event_ts").alias("first_ts"),
+        F.max("event_ts").alias("last_ts"),
     )
     return out.withColumns({"bot_share_sessions": _ratio(F.col("bot_sessions"), F.col("sessions")), "bot_share_events": _ratio(F.col("bot_events"), F.col("rows"))})
 

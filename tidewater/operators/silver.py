@@ -136,7 +136,13 @@ def sessionize(df: DataFrame, timeout_minutes: float = TIMEOUT_MINUTES) -> DataF
 def apply_watermark(df: DataFrame, lateness_hours: float = LATENESS_HOURS) -> DataFrame:
     """event_date, lateness and arrived_after_watermark; a flag, every row stays."""
     micros = F.unix_micros("ingested_at") - F.unix_micros("event_ts")
-    return df.withColumns({"event_date": F.date_trunc("day", "event_ts"), "lateness": F.col("ingested_at") - F.col("event_ts"), "lateness_seconds": micros / 1e6, "arrived_after_watermark": F.coalesce(micros > int(lateness_hours * 3_600_000_000), F.lit(False))})
+    late = micros > int(lateness_hours * 3_600_000_000)
+    return df.withColumns({
+        "event_date": F.date_trunc("day", "event_ts"),
+        "lateness": F.col("ingested_at") - F.col("event_ts"),
+        "lateness_seconds": micros / 1e6,
+        "arrived_after_watermark": F.coalesce(late, F.lit(False)),
+    })
 
 
 def to_silver(clean: DataFrame, timeout_minutes: float = TIMEOUT_MINUTES, lateness_hours: float = LATENESS_HOURS) -> DataFrame:

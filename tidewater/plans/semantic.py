@@ -113,7 +113,9 @@ def compile_spec(spec: MetricSpec, layer: dict, table: str | None = None, day_co
     for name in sorted(spec.filters):
         where.append(f"{layer['dimensions'][name]['sql']} = ?")
         args.append(spec.filters[name])
-    parts = ["SELECT " + ", ".join([f"{sql} AS {name}" for name, sql in slices] + [f"{' '.join(layer['metrics'][spec.metric]['sql'].split())} AS value"]), f"FROM {table or layer['source_table']}"]
+    value = " ".join(layer["metrics"][spec.metric]["sql"].split())
+    columns = [f"{sql} AS {name}" for name, sql in slices] + [f"{value} AS value"]
+    parts = ["SELECT " + ", ".join(columns), f"FROM {table or layer['source_table']}"]
     if where:
         parts.append("WHERE " + " AND ".join(where))
     if slices:
@@ -192,7 +194,8 @@ class MetricAnswer:
 
     def render(self) -> str:
         shown = "—" if self.value is None else f"{self.value:,.4f}".rstrip("0").rstrip(".")
-        lines = [f"{self.label}: {shown if len(self.rows) < 2 else f'{len(self.rows)} rows'}", f"owner {self.owner}, grain {self.grain}, query {self.query_hash}, data of {self.freshness or '—'}"]
+        shown = shown if len(self.rows) < 2 else f"{len(self.rows)} rows"
+        lines = [f"{self.label}: {shown}", f"owner {self.owner}, grain {self.grain}, query {self.query_hash}, data of {self.freshness or '—'}"]
         lines += [f"! {self.ambiguity_warning}"] * bool(self.ambiguity_warning) + [f"* {c}" for c in self.caveats]
         return "\n".join(lines + [f"= {self.definition_sql}"])
 
@@ -232,7 +235,21 @@ class Engine:
         rows = [r.asDict() for r in self.frame(spec).collect()]
         m = self.layer["metrics"][spec.metric]
         fresh = tables.modified(self.silver.sparkSession, self.path) if self.path else None
-        return MetricAnswer(spec.metric, m["label"], m["owner"], m["grain"], rows[0]["value"] if len(rows) == 1 else None, rows, " ".join(m["sql"].split()), self.compiled(spec).sql, query_hash(spec), list(m["caveats"]), quality_context(self.manifest), fresh, ambiguity)
+        return MetricAnswer(
+            metric=spec.metric,
+            label=m["label"],
+            owner=m["owner"],
+            grain=m["grain"],
+            value=rows[0]["value"] if len(rows) == 1 else None,
+            rows=rows,
+            definition_sql=" ".join(m["sql"].split()),
+            compiled_sql=self.compiled(spec).sql,
+            query_hash=query_hash(spec),
+            caveats=list(m["caveats"]),
+            data_quality=quality_context(self.manifest),
+            freshness=fresh,
+            ambiguity_warning=ambiguity,
+        )
 
     def ask(self, name: str, **kw) -> MetricAnswer:
         """Resolve a name, check, compile and run."""
