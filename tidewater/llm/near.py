@@ -212,5 +212,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     alike = simhash.simhash_components(keyed, "node").filter("node != component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b"))
     roots = C.cut(components(alike.unionByName(near_links(docs, text_col))), "near-roots")
     named = C.cut(keyed.select("id", "node").join(roots, "node"), "near-rows")
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("node").alias("node"))).alias("best"))
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("node").alias("node"))).alias("best")
+    best = C.cut(named.groupBy("root").agg(least), "near-best")
     return named.join(best, "root").filter("node != best.node").select("node").distinct()

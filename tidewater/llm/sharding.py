@@ -94,8 +94,17 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     order = [F.col("id").asc_nulls_last(), F.col("size"), F.col("text_crc32")]
     ranged = C.cut(narrow.repartitionByRange(max(C.parts_of(spark), 1), *order).withColumn("part", F.spark_partition_id()), "shard-rows")
     counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
-    offsets = C.cut(counts.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "shard-offsets")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    offsets = C.cut(counts.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))), "shard-offsets")
     n = offsets.agg(F.sum("rows")).first()[0] or 0
     numbered = ranged.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(*order))).join(offsets, "part")
     place = walked(F.col("before") + F.col("k") - 1, n, walk_steps(n)) if n else F.lit(0).cast("long")
-    return numbered.withColumn("place", place).select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), (F.col("place") % shards).cast("int").alias("shard"), F.expr(f"place div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return numbered.withColumn("place", place).select(
+        F.col("id").alias(id_col),
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        (F.col("place") % shards).cast("int").alias("shard"),
+        F.expr(f"place div {shards}").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

@@ -158,6 +158,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = C.cut(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
     roots = components(links(firsts.select("fp")))
     firsts = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = C.cut(firsts.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-smallest")
     of_fp = C.cut(firsts.join(smallest, "root").select("fp", "component_id"), "simhash-components")
     return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), hex_of(F.col("fp")).alias("fingerprint"), "component_id")

@@ -217,7 +217,8 @@ def _send_names(groups: int, drop: int):
                 cuts = _groups_of(p)
                 ends = np.append(cuts[1:], len(p))
                 names >>= np.uint64(drop)
-                yield pd.DataFrame({"p": p[cuts], "batch": number, "names": [_gaps(names[a:b]) for a, b in zip(cuts, ends)], "rest": [np.packbits(np.stack([several[a:b], many[a:b]])).tobytes() for a, b in zip(cuts, ends)]})
+                flags = [np.packbits(np.stack([several[a:b], many[a:b]])).tobytes() for a, b in zip(cuts, ends)]
+                yield pd.DataFrame({"p": p[cuts], "batch": number, "names": [_gaps(names[a:b]) for a, b in zip(cuts, ends)], "rest": flags})
 
     return run
 
@@ -235,8 +236,8 @@ def _meet_names(pdf: pd.DataFrame) -> pd.DataFrame:
     out = np.zeros((2, len(order)), bool)
     out[0, order] = ((n > 1) | np.logical_or.reduceat(several[order], starts))[group]
     out[1, order] = ((n > HOT_BATCHES) | np.logical_or.reduceat(many[order], starts))[group]
-    ends = np.cumsum(sizes)
-    return pd.DataFrame({"batch": pdf["batch"], "p": pdf["p"], "bits": [np.packbits(out[:, b - k : b]).tobytes() for b, k in zip(ends, sizes)], "n": sizes, "kept": [int(out[0, b - k : b].sum()) for b, k in zip(ends, sizes)]})
+    each = [out[:, b - k : b] for b, k in zip(np.cumsum(sizes), sizes)]
+    return pd.DataFrame({"batch": pdf["batch"], "p": pdf["p"], "bits": [np.packbits(x).tobytes() for x in each], "n": sizes, "kept": [int(x[0].sum()) for x in each]})
 
 
 def _state(path: str) -> str:
@@ -263,7 +264,8 @@ def _send_contexts(groups: int, drop: int):
         entry[order] = _group_of_each(starts, len(order))
         name, context, p, least, is_hot = name[starts], context[starts], p[starts], rank[order][starts], is_hot[order][starts]
         out = io.BytesIO()
-        np.savez_compressed(out, gap=np.diff(first, prepend=0).astype(np.uint32), size=(last - first).astype(np.uint8), before=(a - first).astype(np.uint8), entry=entry.astype(np.uint32), hot=np.packbits(is_hot), entries=len(starts))
+        runs = {"gap": np.diff(first, prepend=0).astype(np.uint32), "size": (last - first).astype(np.uint8), "before": (a - first).astype(np.uint8)}
+        np.savez_compressed(out, **runs, entry=entry.astype(np.uint32), hot=np.packbits(is_hot), entries=len(starts))
         fs, q = C.open_fs(_state(path))
         C.put(fs, q, out.getvalue())
         cuts = _groups_of(p)

@@ -69,7 +69,15 @@ def decode_record(raw: bytes) -> dict:
     if not revisit and (hashlib.sha256(payload).hexdigest() != digest or sizes != [len(payload)]):
         raise ValueError(f"payload digest of {fields.get('warc-record-id')} is wrong")
     strip = lambda x: x and x.strip("<>")
-    return {"record_id": strip(fields["warc-record-id"]), "record_type": fields["warc-type"], "target_uri": fields.get("warc-target-uri"), "refers_to": strip(fields.get("warc-refers-to")), "payload_digest": digest, "payload_bytes": sizes[0], "payload": None if revisit else payload}
+    return {
+        "record_id": strip(fields["warc-record-id"]),
+        "record_type": fields["warc-type"],
+        "target_uri": fields.get("warc-target-uri"),
+        "refers_to": strip(fields.get("warc-refers-to")),
+        "payload_digest": digest,
+        "payload_bytes": sizes[0],
+        "payload": None if revisit else payload,
+    }
 
 
 def _writer(folder: str):
@@ -127,12 +135,16 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     spark = pages.sparkSession
     C.small_batches(spark)
     folder = folder or C.new_path(spark, "warc")
-    base = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("num"), F.col(url_col).alias("url"), F.coalesce(F.col(text_col), F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    shared = base.filter(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("num").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    html = F.coalesce(F.col(text_col), F.lit(""))
+    base = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("num"), F.col(url_col).alias("url"), html.alias("html"))
+    base = base.withColumn("digest", F.sha2("html", 256))
+    long = base.filter(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("num").alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = C.cut(long.filter("n > 1").select("digest", "first"), "warc-shared")
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c, F.lit("none")))
-    # the left side's hot digests are split by the skew join of adaptive execution
+    # the left side's hot digests are split by the skew join of adaptive execution, as the right side is a table
     revisit = F.col("first").isNotNull() & ~F.col("num").eqNullSafe(F.col("first"))
-    full = base.join(shared, "digest", "left").select(urn(F.col("id")).alias("rid"), "num", "url", "html", "digest", F.when(revisit, urn(F.col("first").cast("string"))).alias("refers_to"))
+    to = F.when(revisit, urn(F.col("first").cast("string"))).alias("refers_to")
+    full = base.join(shared, "digest", "left").select(urn(F.col("id")).alias("rid"), "num", "url", "html", "digest", to)
     full = full.sortWithinPartitions("digest", "num").drop("num")  # records don't follow the order in which blocks were fetched
     return C.cut(full.mapInPandas(_writer(folder), "path string, records long"), "warc-manifest")
 
@@ -148,4 +160,12 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """What the archives say of each page: id, size and digest of the full payload, type and reference."""
     number = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
     own = F.col("record_type") == "response"
-    return read_warc(write_warc(pages)).select(number("record_id").alias("page_id"), F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(own, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    size = F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
+    digest = F.when(own, F.sha2("payload", 256)).otherwise(F.col("payload_digest"))
+    return read_warc(write_warc(pages)).select(
+        number("record_id").alias("page_id"),
+        size.alias("payload_bytes"),
+        digest.alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
