@@ -65,6 +65,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def _sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([sketch(t) for t in texts], columns=["size", "keys", "least"])
+    C.give_back()
 
 
 _sketches.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
@@ -89,6 +90,8 @@ def _similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
                 text, own = a, shingles(a)
             out.append(jaccard(own, shingles(b)) >= SIMILARITY)
         yield pd.Series(out, dtype=bool)
+        text = own = out = None
+    C.give_back()
 
 
 def text_key(text: Column) -> Column:

@@ -28,7 +28,7 @@ class Encoder(dict):
     The strings of the file's added tokens are cut out first and get their own
     ids, as the tokenizers library does unless told otherwise. No token of the
     rest spans the place where a run of white space begins, so it is encoded
-    chunk by chunk and chunks are remembered, CACHED at most: half of them are
+    chunk by chunk and chunks are remembered, `room` at most: half of them are
     the latest, half older ones that come back when they are met. The merges
     run in tiktoken, whose ids are those of the tokenizers library for the
     same file.
@@ -51,13 +51,14 @@ class Encoder(dict):
         ranks = {bytes(byte_of[c] for c in w): i for w, i in read["model"]["vocab"].items() if w not in self.added}
         self.bpe = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.older: dict[str, bytes] = {}
+        self.room = CACHED
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.older.get(chunk)
         if ids is None:
             ids = np.array(self.bpe.encode_ordinary(chunk), "<u4").tobytes()
         if len(chunk) < 64:
-            if len(self) >= CACHED // 2:
+            if len(self) >= self.room // 2:
                 self.older = dict(self)
                 self.clear()
             self[chunk] = ids
@@ -78,12 +79,12 @@ class Encoder(dict):
 _encoders: dict[str, Encoder] = {}
 
 
-def _cutter(path: str, pattern: str, window: int):
+def _cutter(path: str, pattern: str, window: int, cached: int):
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.setdefault(path, None) or Encoder(path, pattern)
-        _encoders[path] = encoder
+        encoder.room, _encoders[path] = cached, encoder
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             size = 0
@@ -99,6 +100,7 @@ def _cutter(path: str, pattern: str, window: int):
                     yield _batch(out)
                     out, size = [[], [], [], [], []], 0
             yield _batch(out)
+        C.give_back()
 
     return run
 
@@ -108,7 +110,7 @@ def _batch(cols: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "start", "length", "doc_tokens", "ids"])
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", cached: int = CACHED) -> DataFrame:
     """Pieces of at most `window` ids, with their ids, of every row; a document ends with END_ID.
 
     Null text is empty: one piece with END_ID alone. Rows that repeat an id
@@ -117,7 +119,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str | None = None, window: int
     import public_tokenizers as P
 
     C.small_batches(docs.sparkSession)
-    run = _cutter(tokenizer or P.path("byte_bpe_50k.json"), P.PATTERN, window)
+    run = _cutter(tokenizer or P.path("byte_bpe_50k.json"), P.PATTERN, window, cached)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE)
 
 
@@ -204,7 +206,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("doc
     return placed.select(*pieces.columns, "_p.sequence_id", "_p.offset")
 
 
-def packed_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Pieces of all documents with their crc32, sequence and offset. An empty table gives an empty result."""
-    pieces = tokenised_pieces(docs, window=window).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+def packed_documents(docs: DataFrame, window: int = WINDOW, cached: int = CACHED) -> DataFrame:
+    """Pieces of all documents with their crc32, sequence and offset; `cached` chunks are remembered. An empty table gives an empty result."""
+    pieces = tokenised_pieces(docs, window=window, cached=cached).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack(C.cut(pieces, "pack-pieces"), window)

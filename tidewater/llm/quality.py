@@ -130,7 +130,7 @@ def _scored(model: Model, texts: list[str | None]) -> Iterator[tuple[np.ndarray,
     for i, t in enumerate(texts):
         held.append(encode(t))
         size += len(held[-1])
-        if size >= 4096 or i == len(texts) - 1:
+        if size >= 1024 or i == len(texts) - 1:
             score, attention = model.score(held)
             yield score, [a.astype(np.float32) for a in np.split(attention, np.cumsum([len(b) for b in held])[:-1])]
             held, size = [], 0
@@ -171,6 +171,7 @@ def score_udf(model: Model):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.concatenate([np.zeros(0), *(s for s, _ in _scored(model, texts.tolist()))]))
+        C.give_back()
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(score, "double")

@@ -49,6 +49,7 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
+    C.give_back()
 
 
 def hex_of(fp: Column) -> Column:
