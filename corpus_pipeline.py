@@ -18,6 +18,9 @@ from tidewater.llm import exact, mixing, near, packing, quality
 
 COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
+#: Chunks that the tokenizer remembers; fewer than where packing runs alone, as executors hold other stages' memory too.
+CACHED = 100_000
+
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.col(c) if c in docs.columns else F.lit(None).cast(kind).alias(c) for c, kind in COLUMNS.items()))
@@ -69,7 +72,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every row in sequences of one length; an empty text is the one id that ends a document."""
-    return packing.packed_documents(docs)
+    return packing.packed_documents(docs, cached=CACHED)
 
 
 STAGES = [("quality", quality_stage), ("exact", exact_stage), ("simhash", simhash_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
